@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assize.llm.codepoints import deviations, normalised
 from assize.llm.inputs import answer_values
+from assize.llm.leakage import leak_report, leaked_passages
 from assize.llm.truncation import truncated_values, truncation_rates
+from assize.sources.tables import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,9 +22,29 @@ def p2_truncation_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(v, truncated_values(v))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_leak_report(spark: SparkSession, d: str) -> DataFrame:
+    return leak_report(p7_found(spark, d), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return deviations(table(spark, d, "documents"))
+
+
+def p8_normalised(spark: SparkSession, d: str) -> DataFrame:
+    return normalised(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_truncation_rates": p2_truncation_rates,
+    "p7_found": p7_found,
+    "p7_leak_report": p7_leak_report,
+    "p8_found": p8_found,
+    "p8_normalised": p8_normalised,
 }
 
 ORACLES: dict[str, str] = {}
