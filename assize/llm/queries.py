@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assize.llm.codepoints import deviations, normalised
 from assize.llm.inputs import answer_values
 from assize.llm.leakage import leak_report, leaked_passages
+from assize.llm.neardup import expand_pairs, group_of, near_duplicates
 from assize.llm.truncation import truncated_values, truncation_rates
 from assize.sources.tables import table
 
@@ -22,6 +24,18 @@ def p2_truncation_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(v, truncated_values(v))
 
 
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "prompts").select("id", F.coalesce("input", "prompt").alias("text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return expand_pairs(*near_duplicates(_compared(spark, d))).select("id_a", "id_b")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return group_of(*near_duplicates(_compared(spark, d)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -41,6 +55,8 @@ def p8_normalised(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_truncation_rates": p2_truncation_rates,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p7_found": p7_found,
     "p7_leak_report": p7_leak_report,
     "p8_found": p8_found,
