@@ -3,9 +3,9 @@
 Two sets of a and b runs are alike iff their Hamming distance is within the budget ``(1-t)/(1+t) * (a+b)``. Candidates come
 from an inverted index over each set's rarest runs, as many as a partner of the given size must share one of (order:
 counts over all records in a fixed-size sketch; any order finds all pairs). A set is also a ring of ``SEGMENTS`` parity
-maps, one for each part of the hash space; their bit differences never exceed the parts' true Hamming distances. A pair
-within the budget has a place on the ring from where the differences of every chain of 1, 2, .. segments stay within that
-share of the budget; pairs without such a chain end in the join itself. The rest gets the full Hamming check on the sets.
+maps, one for each part of the hash space; their bit differences never exceed the parts' true Hamming distances. Chains of
+consecutive segments must stay within their share of the budget; pairs without such a chain end in the join itself, and
+the rest gets the full Hamming check on the sets.
 No pair above the threshold is lost, and exact copies are one set from the start.
 """
 
@@ -23,35 +23,36 @@ from pyspark.sql import functions as F
 from assize.llm.answers import words
 from assize.plans.lineage import settle
 
-SEGMENTS = 4
+SEGMENTS = 8
 #: Cells of the count sketch that orders runs by rarity; 1 MB on the driver, whatever the corpus.
 CELLS = 1 << 20
 #: Bits of the map of runs seen more than once, 8 MB: a run known to be in one set only can't be shared.
 SEEN = 1 << 26
 
+#: A list of set ids (8 bytes each) is broadcast up to so many, and joined by exchange beyond.
+BROADCAST_ROWS = 1_000_000
+
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _CACHE_WORDS = 1 << 20
 
 
-def _hash_words(ws: list[str], cache: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        h = cache.get(w)
-        if h is None:
-            b = w.encode("utf-8", "surrogatepass")
-            h = (zlib.crc32(b) << 32) | zlib.crc32(b, 0x9747B28C) ^ zlib.adler32(b)
-            if len(cache) < _CACHE_WORDS:
-                cache[w] = h
-        out[i] = h
-    return out
+class _Hashes(dict):
+    """Hash of each word; frequent ones are kept."""
+
+    def __missing__(self, w: str) -> int:
+        b = w.encode("utf-8", "surrogatepass")
+        h = (zlib.crc32(b) << 32) | (zlib.crc32(b, 0x9747B28C) ^ zlib.adler32(b))
+        if len(self) < _CACHE_WORDS:
+            self[w] = h
+        return h
 
 
-def run_hashes(text: str | None, n: int, cache: dict[str, int]) -> np.ndarray:
+def run_hashes(text: str | None, n: int, cache: _Hashes) -> np.ndarray:
     """The distinct hashes of a text's runs of n words; empty where it has fewer words."""
     ws = words(text or "")
     if len(ws) < n:
         return np.empty(0, np.uint64)
-    h = _hash_words(ws, cache)
+    h = np.array([cache[w] for w in ws], np.uint64)
     x = np.zeros(len(ws) - n + 1, np.uint64)
     for k in range(n):
         x = (x ^ h[k : len(h) - n + 1 + k]) * _M1
@@ -65,7 +66,7 @@ def record_sets(records: DataFrame, id: str, text: str, n: int = 3) -> DataFrame
     """(id, set_id, runs) of each distinct id with at least one run; copies share a set_id."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        cache = _Hashes()
         for b in batches:
             ids, sets, runs = [], [], []
             for i, t in zip(b["id"], b["text"]):
@@ -126,48 +127,50 @@ def _postings(sets: DataFrame, threshold: float) -> DataFrame:
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank, more = held.value
+        done: set[int] = set()  # copies within the task; those of other tasks go after the exchange
         for b in batches:
-            out = []
-            for sid, runs in zip(b["set_id"], b["runs"]):
-                r = np.asarray(runs, np.int64).view(np.uint64)
-                a = len(r)
-                seg = (r >> np.uint64(6)).astype(np.int64) % SEGMENTS
-                bit = np.uint64(1) << (r & np.uint64(63))
-                signs = [int(np.bitwise_xor.reduce(bit[seg == i], initial=np.uint64(0)).view(np.int64)) for i in range(SEGMENTS)]
-                order = np.argsort(rank[(r >> np.uint64(40)).astype(np.int64) & (CELLS - 1)].astype(np.int64) * (1 << 20) + (r >> np.uint64(44)).astype(np.int64), kind="stable")
-                # a partner has at least t*a runs and shares at least t/(1+t)*(a+b) of them
-                keep = a - int(np.ceil(threshold * a - 1e-9)) + 1
-                top = r[order[:keep]]
-                at = np.nonzero(more[((top & np.uint64(SEEN - 1)) >> np.uint64(3)).astype(np.int64)] & (np.uint8(1) << (top & np.uint64(7)).astype(np.uint8)))[0]
-                if len(at):
-                    out.append(pd.DataFrame({"run": top[at].view(np.int64), "at": at.astype(np.int32), "set_id": sid, "size": np.int32(a), **dict(zip(ring, signs))}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            b = b[~b["set_id"].isin(done)].drop_duplicates("set_id")
+            if not len(b):
+                continue
+            done.update(b["set_id"].tolist())
+            sid = b["set_id"].to_numpy()
+            a = b["runs"].map(len).to_numpy()
+            r = np.concatenate(b["runs"].to_numpy()).view(np.uint64)
+            begin = np.concatenate([[0], np.cumsum(a)[:-1]])
+            doc = np.repeat(np.arange(len(a)), a)
+            seg = (r >> np.uint64(6)).astype(np.int64) % SEGMENTS
+            bit = np.uint64(1) << (r & np.uint64(63))
+            signs = [np.bitwise_xor.reduceat(np.where(seg == i, bit, np.uint64(0)), begin).view(np.int64) for i in range(SEGMENTS)]
+            order = np.lexsort((r, rank[(r >> np.uint64(40)).astype(np.int64) & (CELLS - 1)], doc))
+            at = np.arange(len(r)) - begin[doc]
+            # a partner has at least t*a runs and shares at least t/(1+t)*(a+b) of them
+            keep = a - np.ceil(threshold * a - 1e-9).astype(np.int64) + 1
+            order = order[at < keep[doc]]
+            at = at[at < keep[doc]]
+            x = r[order]
+            shared = (more[((x & np.uint64(SEEN - 1)) >> np.uint64(3)).astype(np.int64)] & (np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))) > 0
+            d = doc[order][shared]
+            yield pd.DataFrame({"run": x[shared].view(np.int64), "at": at[shared].astype(np.int32), "set_id": sid[d], "size": a[d].astype(np.int32), **{n: v[d] for n, v in zip(ring, signs)}})
 
     return sets.select("set_id", "runs").mapInPandas(post, "run bigint, at int, set_id bigint, size int, " + ", ".join(f"{s} bigint" for s in ring))
 
 
 def ring_chain(differences: list[Column], budget: Column) -> Column:
-    """Whether from some segment on every chain of 1, 2, .. all segments stays within its share of the budget.
+    """Whether the ring has a place from where chains of consecutive segments stay within their shares of the budget.
 
-    The chain of all segments is the whole distance; the shorter ones, tried first, end most pairs early.
+    Chains of half the ring are tried first: one of the two must stay within half of the budget, which ends most pairs.
+    The chain of all segments is the whole ring; by the pigeonring principle a ring within the budget has a place from
+    where all shorter chains are within theirs too, so that trying the rest of them would end no further pair.
     """
-    m = len(differences)
-    starts = []
-    for s in range(m):
-        total, ok = None, None
-        for n in range(m):
-            d = differences[(s + n) % m]
-            total = d if total is None else total + d
-            step = total * m <= budget * (n + 1)
-            ok = step if ok is None else ok & step
-        starts.append(ok)
-    return reduce(lambda a, b: a | b, starts)
+    h = len(differences) // 2
+    half = [reduce(lambda a, b: a + b, differences[:h]), reduce(lambda a, b: a + b, differences[h:])]
+    return ((half[0] * 2 <= budget) | (half[1] * 2 <= budget)) & (half[0] + half[1] <= budget)
 
 
 def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(a, b, common, similarity) of all pairs of different sets (set_id, runs) that are at least ``threshold`` alike."""
-    p = settle(_postings(sets, threshold), "postings")
+    # copies of a set from several tasks meet where their runs meet, after the one exchange that the join needs anyway
+    p = _postings(sets, threshold).repartition("run").dropDuplicates(["run", "set_id"])
     x, y = p.alias("x"), p.alias("y")
     a, b = F.col("x.size"), F.col("y.size")
     need = F.lit(threshold / (1 + threshold)) * (a + b) - F.lit(1e-9)
@@ -179,8 +182,10 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     ring = ring_chain([F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SEGMENTS)], budget)
     pairs = x.join(y, (F.col("x.run") == F.col("y.run")) & first & sizes & places & ring).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
     pairs = settle(pairs, "candidates")
-    need_sets = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    held = sets.join(need_sets, "set_id", "left_semi")
+    named = settle(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "named")
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    held = settle(sets.join(named, "set_id", "left_semi").dropDuplicates(["set_id"]), "held")
     both = pairs.join(held.select(F.col("set_id").alias("a"), F.col("runs").alias("ra")), "a").join(held.select(F.col("set_id").alias("b"), F.col("runs").alias("rb")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("ra", "rb")))
     both = both.withColumn("either", F.size("ra") + F.size("rb") - F.col("common"))
@@ -194,9 +199,7 @@ def near_duplicates(records: DataFrame, id: str = "id", text: str = "text", thre
     once where their text is the same; an empty table gives empty results; further columns are ignored.
     """
     made = settle(record_sets(records, id, text, n), "sets")
-    members = made.select("id", "set_id").distinct()
-    sets = made.dropDuplicates(["set_id"]).select("set_id", "runs")
-    return members, similar_sets(settle(sets, "distinct"), threshold)
+    return made.select("id", "set_id").distinct(), similar_sets(made.select("set_id", "runs"), threshold)
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
