@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from assize.llm.codepoints import deviations, normalised
 from assize.llm.inputs import answer_values
 from assize.llm.leakage import leak_report, leaked_passages
 from assize.llm.neardup import expand_pairs, group_of, near_duplicates
+from assize.llm.packing import fill_report, pack, token_sizes
+from assize.llm.tokens import estimate_tokens, token_budget, token_models
 from assize.llm.truncation import truncated_values, truncation_rates
-from assize.sources.tables import table
+from assize.plans.lineage import settle
+from assize.sources.tables import canonical, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +40,38 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return group_of(*near_duplicates(_compared(spark, d)))
 
 
+def _sft(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "traces").select("id", canonical(F.col("lang")).alias("lang"), F.col("r1_raw_sft").alias("text"))
+
+
+def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
+    r = _sft(spark, d)
+    slices = table(spark, d, "traces").where("id is not null").groupBy("id").agg(F.max(canonical(F.col("source"))).alias("source"), F.max(canonical(F.col("lang"))).alias("lang"))
+    domains = table(spark, d, "sources").select(canonical(F.col("source")).alias("source"), "domain").dropDuplicates(["source"])
+    return estimate_tokens(r, token_models(r)).join(slices, "id").join(domains, "source", "left").select("id", "source", "lang", "domain", "tokens")
+
+
+def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    return token_budget(p4_tokens(spark, d))
+
+
+def p4_model_quality(spark: SparkSession, d: str) -> DataFrame:
+    m = token_models(_sft(spark, d))
+    rows = [(k, x["n_holdout"], x["bias"], x["mape"], x["total_error"]) for k, x in m.items()]
+    return spark.createDataFrame(rows, "lang string, n_holdout int, bias double, mean_relative_error double, total_error double")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = settle(token_sizes(table(spark, d, "documents")), "sizes")
+    limits = table(spark, d, "run_limits").where("limit_name like 'pack_tokens_%'").dropDuplicates(["limit_name"]).collect()  # a stated table
+    out = [pack(sizes, r.amount).withColumns({"limit_name": F.lit(r.limit_name), "capacity": F.lit(r.amount)}) for r in sorted(limits)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p6_containers(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -57,6 +93,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_truncation_rates": p2_truncation_rates,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_tokens": p4_tokens,
+    "p4_token_budget": p4_token_budget,
+    "p4_model_quality": p4_model_quality,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leak_report": p7_leak_report,
     "p8_found": p8_found,
