@@ -13,12 +13,19 @@ from assize.llm.inputs import answer_values
 from assize.llm.leakage import leak_report, leaked_passages
 from assize.llm.neardup import expand_pairs, group_of, near_duplicates
 from assize.llm.packing import fill_report, pack, token_sizes
+from assize.llm.subset import varied_subsets
 from assize.llm.tokens import estimate_tokens, token_budget, token_models
 from assize.llm.truncation import truncated_values, truncation_rates
 from assize.plans.lineage import settle
 from assize.sources.tables import canonical, table
 
 
+def p1_subset(spark: SparkSession, d: str) -> DataFrame:
+    limits = table(spark, d, "run_limits").where("limit_name like 'subset_rows_%'").dropDuplicates(["limit_name"]).collect()  # a stated table
+    r = table(spark, d, "prompts").select("id", canonical(F.col("source")).alias("source"), F.col("prompt").alias("text"))
+    return varied_subsets(r, sorted((x.limit_name, x.amount) for x in limits))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated_values(answer_values(spark, d)).select("field_name", "record_id")
 
@@ -89,6 +96,7 @@ def p8_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_subset": p1_subset,
     "p2_found": p2_found,
     "p2_truncation_rates": p2_truncation_rates,
     "p3_found": p3_found,
