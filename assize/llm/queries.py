@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assize.llm.codepoints import deviations, normalised
-from assize.llm.inputs import answer_values
+from assize.llm.inputs import answer_values, judged_pairs
 from assize.llm.leakage import leak_report, leaked_passages
 from assize.llm.neardup import expand_pairs, group_of, near_duplicates
 from assize.llm.packing import fill_report, pack, token_sizes
+from assize.llm.pairs import broken_pairs
 from assize.llm.subset import varied_subsets
 from assize.llm.tokens import estimate_tokens, token_budget, token_models
 from assize.llm.truncation import truncated_values, truncation_rates
@@ -68,6 +69,14 @@ def p4_model_quality(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, n_holdout int, bias double, mean_relative_error double, total_error double")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs(judged_pairs(spark, d))
+
+
+def p5_defect_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p5_found(spark, d).groupBy("field_name", "defect").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     sizes = settle(token_sizes(table(spark, d, "documents")), "sizes")
     limits = table(spark, d, "run_limits").where("limit_name like 'pack_tokens_%'").dropDuplicates(["limit_name"]).collect()  # a stated table
@@ -104,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_tokens": p4_tokens,
     "p4_token_budget": p4_token_budget,
     "p4_model_quality": p4_model_quality,
+    "p5_found": p5_found,
+    "p5_defect_counts": p5_defect_counts,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
