@@ -26,6 +26,8 @@ LABELS = ("empty", "refusal", "copy", "other_language", "truncated")
 #: Pairs, in expectation, from which synthetic ones are made; a hash of the id picks them from the whole table.
 SAMPLE_PAIRS = 3_000
 BUCKETS, LANG_BUCKETS, MOST_LANGUAGES = 1 << 15, 1 << 14, 30
+#: Logits below a threshold within which a sampled pair is suspected of being broken itself.
+SUSPECT = 1.5
 _RUN = 4
 _QUOTED = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"\n]*\"|「[^」]*」")
 DENSE = ["one", "empty", "bare_verdict", "cut", "copied", "mostly_copied", "copied_with_verdict", "foreign", "foreign_margin", "short", "fresh", "fresh_short", "no_score", "has_verdict", "quoted"]
@@ -127,7 +129,7 @@ class Reader:
         enough = len(base) >= 3
         margin = float(min(3.0, mine[top] - mine[home])) if enough else 0.0
         foreign = float(enough and top != home and margin > 0.15)
-        short = float(len(base) <= 40)
+        short = max(0.0, 1 - len(base) / 100)
         no_score = float(bool(re.search(r'"score"\s*:\s*(?:null|""|"null"|"n/a")', (response or "").lower())))
         empty = float(a.shell == "empty")
         dense = [1.0, empty * 4, float(a.shell == "verdict"), float(a.cut) * 4, share * 2, float(share >= 0.8) * 4, float(share >= 0.8 and a.verdict), foreign * 3, margin * foreign, short, fresh * 3, fresh * short * 3, no_score, float(a.verdict), float(len(own) < len(all_))]
@@ -236,6 +238,8 @@ def synthetic_pairs(pairs: list[tuple[str, str, str, str]], seed: int = 5) -> li
                 out.append((task, inp, _shell(rng, text, None), "copy"))
         out.append((task, inp, _shell(rng, _refusal(rng, lang), rng.choice([None, "", None])), "refusal"))
         out.append((task, inp, _shell(rng, _refusal(rng, lang), ""), "refusal"))
+        if inp and (q := _sentences(inp)):  # the question said again before declining
+            out.append((task, inp, _shell(rng, rng.choice(q) + " " + _refusal(rng, lang), rng.choice([None, ""])), "refusal"))
         out.append((task, inp, rng.choice([None, "", "  \n", "N/A", "{}", "[]", "null", "---", "Error", "(no output)", "<answer></answer>", '{"explanation": "", "score": null}', '{"score": ""}', "```json\n```", "None", "..."]), "empty"))
     return out
 
@@ -262,20 +266,29 @@ def train(pairs: list[tuple[str, str, str | None, str | None]], seed: int = 5) -
             same = len(n) < 4 or int(np.argmax(languages.scores(n))) == int(np.argmax(src))
             if same:
                 kept.append((task or "", inp or "", r, languages.names[int(np.argmax(src))]))
-    reader = Reader(languages, (count >= max(2.0, len(pairs) * 0.002)).astype(np.float64))
-    made = synthetic_pairs(kept, seed)
+    reader = Reader(languages, (count >= max(3.0, len(pairs) * 0.004)).astype(np.float64))
+    first, *_ = _fit(reader, synthetic_pairs(kept, seed), seed, 60)
+    # the sample's own broken pairs would teach that they are sound: what the first model suspects is left out of the second
+    sound = [x for x in kept if (first.logits(*reader.features(x[2], reader.source(x[0], x[1]))) < first.thresholds - SUSPECT).all()]
+    return _fit(reader, synthetic_pairs(sound if len(sound) > len(kept) // 2 else kept, seed), seed, 120)[0]
+
+
+def _fit(reader: Reader, made: list[tuple[str, str, str | None, str | None]], seed: int, rounds: int) -> tuple[Classifier, np.ndarray, np.ndarray]:
+    """A classifier, and the holdouts' logits less the thresholds and labels."""
     if not made:
-        return Classifier(reader, np.zeros((BUCKETS, len(LABELS))), np.zeros((len(DENSE), len(LABELS))), np.full(len(LABELS), 1.0))
+        c = Classifier(reader, np.zeros((BUCKETS, len(LABELS))), np.zeros((len(DENSE), len(LABELS))), np.full(len(LABELS), 1.0))
+        c.dense[DENSE.index("empty")] = np.eye(len(LABELS))[0] * 4  # without a sample, empty shells are still known by their form
+        return c, np.zeros((0, len(LABELS))), np.zeros((0, len(LABELS)))
     x = [reader.features(r, reader.source(task, inp)) for task, inp, r, _ in made]
     dense, grams = np.array([d for d, _ in x]), [g for _, g in x]
     y = np.array([[float(k == lab) for lab in LABELS] for *_, k in made])
     held = np.random.default_rng(seed).random(len(made)) < 0.25
-    w, d = fit_linear(dense[~held], [g for g, h in zip(grams, held) if not h], y[~held])
+    w, d = fit_linear(dense[~held], [g for g, h in zip(grams, held) if not h], y[~held], rounds)
     c = Classifier(reader, w, d, np.zeros(len(LABELS)))
     z = np.array([c.logits(dense[i], grams[i]) for i in np.nonzero(held)[0]]).reshape(-1, len(LABELS))
     for k in range(len(LABELS)):
         c.thresholds[k] = _threshold(z[:, k], y[held][:, k] > 0)
-    return c
+    return c, z - c.thresholds, y[held]
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
