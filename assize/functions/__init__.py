@@ -1 +1 @@
-
+"""Column functions: scores, statistics, hashing, text and vectors."""

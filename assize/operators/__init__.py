@@ -1 +1 @@
-
+"""DataFrame operators of rubric-based judging."""

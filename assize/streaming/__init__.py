@@ -1 +1 @@
-
+"""Answers as they arrive."""
