@@ -100,6 +100,8 @@ def is_verdict(text: str) -> bool:
 def _plain(body: str) -> Answer:
     lines = [x for x in body.split("\n") if x.strip()]
     verdict = False
+    if len(lines) > 1 and _BARE_ITEM.match(lines[-1]) and any(_ITEM.match(x) for x in lines[:-1]):
+        return Answer("list", "\n".join(lines[:-1]), False, True, lines[-1].strip())
     while lines and is_verdict(lines[-1]):
         verdict = True
         lines.pop()
@@ -125,7 +127,7 @@ def _plain(body: str) -> Answer:
     prose = "\n".join(lines)
     if closed:
         return Answer("prose", prose, verdict, False, "")
-    if _OPEN_VERDICT.match(lines[-1]) or (len(lines) > 1 and _BARE_ITEM.match(lines[-1])):
+    if _OPEN_VERDICT.match(lines[-1]):
         return Answer("prose", prose, False, True, lines[-1].strip())
     items = [x for x in lines if _ITEM.match(x)]
     if items and _ITEM.match(lines[-1]):

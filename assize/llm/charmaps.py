@@ -134,7 +134,8 @@ def only(script: int) -> str:
 
 @functools.cache
 def _unmistakable() -> dict[int, re.Pattern]:
-    return {s: re.compile(f"(?<![^\\W_{_MARKS}])(?=[^\\W_]*[{only(s)}])[{SCRIPT_RANGES[s]}{_MARKS}]{{2,}}(?![^\\W_])") for s in SCRIPT_RANGES}
+    inside = f"(?:[^\\W_]|[{_MARKS}])"
+    return {s: re.compile(f"(?<![^\\W_])(?<![{_MARKS}])(?={inside}*[{only(s)}])[{SCRIPT_RANGES[s]}{_MARKS}0-9]{{2,}}(?!{inside})") for s in SCRIPT_RANGES}
 
 
 def unmistakable(text: str) -> tuple[int, ...]:

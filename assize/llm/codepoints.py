@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from assize.llm import charmaps as M
 
@@ -62,7 +63,7 @@ def _spread(text: Column) -> Column:
     return F.array_compact(F.array(*has))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x))
 

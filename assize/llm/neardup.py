@@ -76,7 +76,7 @@ def record_sets(records: DataFrame, id: str, text: str, n: int = 3) -> DataFrame
                     runs.append(r.view(np.int64))
                     k = np.arange(1, len(r) + 1, dtype=np.uint64)
                     sets.append(int(((r ^ (r >> np.uint64(31))) * (_M3 + k * np.uint64(2))).sum(dtype=np.uint64).view(np.int64)))
-            yield pd.DataFrame({"id": ids, "set_id": np.array(sets, np.int64), "runs": runs})
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "set_id": np.array(sets, np.int64), "runs": pd.Series(runs, dtype=object)})
 
     r = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     return r.mapInPandas(make, "id bigint, set_id bigint, runs array<bigint>")

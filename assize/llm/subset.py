@@ -19,6 +19,8 @@ HASHED, WIDTH = 1 << 13, 64
 INIT_ROWS = 4_000
 #: Sources with quotas of their own; rarer ones share this many further groups.
 MOST_SOURCES = 500
+#: Share of the mean squared distance of centres below which two clusters are one group of similar records.
+CLOSE = 0.15
 _SALTS = 32
 
 
@@ -128,10 +130,10 @@ def mini_batch_k_means(made: DataFrame, k: int = CLUSTERS, epochs: int = EPOCHS)
     return mean, centres
 
 
-def quotas(sizes: np.ndarray, n: int, power: float) -> np.ndarray:
+def quotas(sizes: np.ndarray, n: float, power: float) -> np.ndarray:
     """Real quotas proportional to size**power, none above its size, in sum n (or all rows); unused slots go to the others."""
     sizes = np.asarray(sizes, float)
-    n = min(n, int(sizes.sum()))
+    n = min(n, sizes.sum())
     want = np.where(sizes > 0, sizes**power, 0.0)
     out, open_ = np.zeros(len(sizes)), sizes > 0
     while open_.any():
@@ -157,14 +159,32 @@ def _whole(real: np.ndarray, sizes: np.ndarray, n: int, order: np.ndarray) -> np
     return out
 
 
-def allocate(cells: np.ndarray, n: int, order: np.ndarray) -> np.ndarray:
+def merge_close(centres: np.ndarray, share: float = CLOSE) -> np.ndarray:
+    """Group number of each centre: centres closer than ``share`` of the mean squared distance are one group, chains among them."""
+    group = np.arange(len(centres))
+    if len(centres) > 1:
+        d = ((centres[:, None] - centres[None]) ** 2).sum(2)
+        near = share * d.sum() / (len(centres) * (len(centres) - 1))
+        for i, j in zip(*np.nonzero(np.triu(d <= near, 1))):
+            group[group == group[j]] = group[i]
+    return np.unique(group, return_inverse=True)[1]
+
+
+def allocate(cells: np.ndarray, n: int, order: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
     """Slots of each (cluster, source) cell, n in sum (or all rows).
 
-    Clusters get square-root quotas, sources are drawn towards equal ones; no cell gets more than its rows.
+    Groups of clusters (by default each its own) get square-root quotas, and so their clusters of these; sources are drawn
+    towards equal ones; no cell gets more than its rows.
     """
     cells = np.asarray(cells, np.int64)
     n = min(n, int(cells.sum()))
-    rows = _whole(quotas(cells.sum(1), n, 0.5), cells.sum(1), n, order)
+    sizes = cells.sum(1)
+    group = np.arange(len(cells)) if group is None else group
+    real = np.zeros(len(cells))
+    for g, share in enumerate(quotas(np.bincount(group, sizes), n, 0.5)):
+        own = group == g
+        real[own] = quotas(sizes[own], share, 0.5)
+    rows = _whole(real, sizes, n, order)
     columns = quotas(cells.sum(0), n, 0.0)
     w = np.sqrt(cells.astype(float))
     for _ in range(60):
@@ -220,10 +240,10 @@ def varied_subsets(records: DataFrame, limits: list[tuple[str, int]], k: int = C
     cells = np.zeros((len(centres), len(number) + MOST_SOURCES * wide), np.int64)
     for r in rows.groupBy("cluster", "slot").count().collect():  # at most k * 2 * MOST_SOURCES rows
         cells[r.cluster, r.slot] = r["count"]
-    order = _chain(centres)
+    order, group = _chain(centres), merge_close(centres)
     plan = []
     for name, n in limits:
-        take = allocate(cells, n, order)
+        take = allocate(cells, n, order, group)
         plan += [(name, int(c), int(s), int(take[c, s])) for c, s in zip(*np.nonzero(take))]
     if not plan:
         return spark.createDataFrame([], schema)

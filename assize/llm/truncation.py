@@ -20,6 +20,8 @@ from assize.plans.lineage import settle
 ABBREVIATION_LETTERS = 6
 #: First and further fixed prefix lengths.
 FIRST, STEP = 8, 16
+#: Characters looked at after a tail.
+AFTER = 6
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +61,7 @@ def longer_copies(tails: DataFrame, values: DataFrame) -> DataFrame:
     asked = t.select("tail", k.alias("k")).select("tail", F.xxhash64(F.substring("tail", F.lit(1), F.col("k")), "k").alias("h"), F.expr("substring(tail, k + 1)").alias("rest"))
     s = values.select(F.explode(F.array_distinct(sentences(F.col("value")))).alias("s"))
     s = s.select("s", F.explode(_ladder(F.length("s"))).alias("k"))
-    known = s.select(F.xxhash64(F.substring("s", F.lit(1), F.col("k")), "k").alias("h"), F.expr(f"substring(s, k + 1, {STEP})").alias("more")).distinct()
+    known = s.select(F.xxhash64(F.substring("s", F.lit(1), F.col("k")), "k").alias("h"), F.expr(f"substring(s, k + 1, {STEP + AFTER})").alias("more")).distinct()
     goes_on = F.startswith("more", "rest") & (F.regexp_replace(F.expr("substring(more, length(rest) + 1)"), r"[^\p{L}\p{N}]", "") != "")
     return asked.join(known, "h").where(goes_on).select("tail").distinct()
 
