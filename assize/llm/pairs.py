@@ -19,15 +19,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assize.llm.answers import Answer, read_answer, words
+from assize.llm.answers import Answer, ends_open, read_answer, words
 from assize.llm.phrases import REFUSALS, REPORTS
 
 LABELS = ("empty", "refusal", "copy", "other_language", "truncated")
 #: Pairs, in expectation, from which synthetic ones are made; a hash of the id picks them from the whole table.
-SAMPLE_PAIRS = 3_000
+SAMPLE_PAIRS = 2_400
 BUCKETS, LANG_BUCKETS, MOST_LANGUAGES = 1 << 15, 1 << 14, 30
 #: Logits below a threshold within which a sampled pair is suspected of being broken itself.
 SUSPECT = 1.5
+#: Least own words of answers that make known what answers usually say; declining ones are shorter.
+COMMON_WORDS = 24
 _RUN = 4
 _QUOTED = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"\n]*\"|「[^」]*」")
 DENSE = ["one", "empty", "bare_verdict", "cut", "copied", "mostly_copied", "copied_with_verdict", "foreign", "foreign_margin", "short", "fresh", "fresh_short", "no_score", "has_verdict", "quoted"]
@@ -202,18 +204,27 @@ def _sentences(text: str) -> list[str]:
     return [x for x in re.split(r"(?<=[.!?])\s+|\n+", text.strip()) if x]
 
 
-def synthetic_pairs(pairs: list[tuple[str, str, str, str]], seed: int = 5) -> list[tuple[str, str, str | None, str | None]]:
-    """(task, input, response, label or None) made from sound-looking (task, input, response, lang) pairs."""
+def synthetic_pairs(pairs: list[tuple[str, str, str, str]], seed: int = 5, bases: list[int] | None = None) -> list[tuple[str, str, str | None, str | None]]:
+    """(task, input, response, label or None) made from sound-looking (task, input, response, lang) pairs.
+
+    ``bases`` gets the number of the pair that each was made from.
+    """
     rng = random.Random(seed)
     by_lang: dict[str, list[str]] = {}
     for *_, r, k in pairs:
         by_lang.setdefault(k, []).append(r)
     out: list[tuple[str, str, str | None, str | None]] = []
-    for task, inp, r, lang in pairs:
+    for n, (task, inp, r, lang) in enumerate(pairs):
+        if bases is not None:
+            bases += [max(0, n - 1)] * (len(out) - len(bases))
         out.append((task, inp, r, None))
         a = read_answer(r)
         if a.prose:
             s = _sentences(a.prose)
+            if ends_open(s[-1]) or len(s) == 1:
+                s[-1] = s[-1].rstrip(" .") + "."
+            for x in (rng.choice(s), s[-1]):  # short answers are sound as well
+                out.append((task, inp, _shell(rng, x, rng.choice([None, None, ""])), None))
             s.insert(rng.randrange(len(s) + 1), rng.choice(REPORTS.get(lang, REPORTS["en"])))
             out.append((task, inp, _shell(rng, " ".join(s), None), None))
             if inp and (q := _sentences(inp)):
@@ -241,6 +252,8 @@ def synthetic_pairs(pairs: list[tuple[str, str, str, str]], seed: int = 5) -> li
         if inp and (q := _sentences(inp)):  # the question said again before declining
             out.append((task, inp, _shell(rng, rng.choice(q) + " " + _refusal(rng, lang), rng.choice([None, ""])), "refusal"))
         out.append((task, inp, rng.choice([None, "", "  \n", "N/A", "{}", "[]", "null", "---", "Error", "(no output)", "<answer></answer>", '{"explanation": "", "score": null}', '{"score": ""}', "```json\n```", "None", "..."]), "empty"))
+    if bases is not None:
+        bases += [max(0, len(pairs) - 1)] * (len(out) - len(bases))
     return out
 
 
@@ -260,35 +273,44 @@ def train(pairs: list[tuple[str, str, str | None, str | None]], seed: int = 5) -
         a = read_answer(r)
         n = np.array([numbers[w] for w in words(_QUOTED.sub(" ", a.prose))], np.int64)
         src = languages.scores(np.array([numbers[w] for w in words(inp or task or "")], np.int64))
-        count[np.unique(_grams(n, 2) % np.uint64(BUCKETS)).astype(np.int64)] += 1
+        if len(n) >= COMMON_WORDS:
+            count[np.unique(_grams(n, 2) % np.uint64(BUCKETS)).astype(np.int64)] += 1
         if r and a.shell != "empty" and not a.cut and len(languages.names):
             # the sample isn't labelled: what its form or language shows to be broken is no base for synthetic pairs
             same = len(n) < 4 or int(np.argmax(languages.scores(n))) == int(np.argmax(src))
             if same:
                 kept.append((task or "", inp or "", r, languages.names[int(np.argmax(src))]))
     reader = Reader(languages, (count >= max(3.0, len(pairs) * 0.004)).astype(np.float64))
-    first, *_ = _fit(reader, synthetic_pairs(kept, seed), seed, 60)
-    # the sample's own broken pairs would teach that they are sound: what the first model suspects is left out of the second
-    sound = [x for x in kept if (first.logits(*reader.features(x[2], reader.source(x[0], x[1]))) < first.thresholds - SUSPECT).all()]
-    return _fit(reader, synthetic_pairs(sound if len(sound) > len(kept) // 2 else kept, seed), seed, 120)[0]
-
-
-def _fit(reader: Reader, made: list[tuple[str, str, str | None, str | None]], seed: int, rounds: int) -> tuple[Classifier, np.ndarray, np.ndarray]:
-    """A classifier, and the holdouts' logits less the thresholds and labels."""
+    bases: list[int] = []
+    made = synthetic_pairs(kept, seed, bases)
     if not made:
         c = Classifier(reader, np.zeros((BUCKETS, len(LABELS))), np.zeros((len(DENSE), len(LABELS))), np.full(len(LABELS), 1.0))
         c.dense[DENSE.index("empty")] = np.eye(len(LABELS))[0] * 4  # without a sample, empty shells are still known by their form
-        return c, np.zeros((0, len(LABELS))), np.zeros((0, len(LABELS)))
-    x = [reader.features(r, reader.source(task, inp)) for task, inp, r, _ in made]
+        return c
+    sources = {}
+    x = [reader.features(r, sources[k] if (k := (task, inp)) in sources else sources.setdefault(k, reader.source(task, inp))) for task, inp, r, _ in made]
     dense, grams = np.array([d for d, _ in x]), [g for _, g in x]
     y = np.array([[float(k == lab) for lab in LABELS] for *_, k in made])
     held = np.random.default_rng(seed).random(len(made)) < 0.25
+    base = np.array(bases)
+    first = _fit(reader, dense, grams, y, held, 60)
+    # the sample's own broken pairs would teach that they are sound: all made from what the first model suspects is left out
+    plain = np.nonzero(np.concatenate([[True], base[1:] != base[:-1]]))[0]  # each pair itself stands before what is made from it
+    suspect = base[[i for i in plain if (first.logits(dense[i], grams[i]) > first.thresholds - SUSPECT).any()]]
+    use = ~np.isin(base, suspect)
+    if use.mean() < 0.5:
+        return first
+    return _fit(reader, dense[use], [g for g, u in zip(grams, use) if u], y[use], held[use], 120)
+
+
+def _fit(reader: Reader, dense: np.ndarray, grams: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int) -> Classifier:
+    """A classifier fitted on the rows that aren't held, with thresholds from those that are."""
     w, d = fit_linear(dense[~held], [g for g, h in zip(grams, held) if not h], y[~held], rounds)
     c = Classifier(reader, w, d, np.zeros(len(LABELS)))
     z = np.array([c.logits(dense[i], grams[i]) for i in np.nonzero(held)[0]]).reshape(-1, len(LABELS))
     for k in range(len(LABELS)):
         c.thresholds[k] = _threshold(z[:, k], y[held][:, k] > 0)
-    return c, z - c.thresholds, y[held]
+    return c
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
