@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assize.functions.binding import bind
+
 #: The span between a prompt's task and its response, and the mark before options.
 TASK_INPUT = r"(?s)### TASK\s+(.*?)\s+### RESPONSE"
 OPTIONS_MARK = "Options:\n"
@@ -47,15 +49,19 @@ def _strip(text: Column) -> Column:
 
 def parse_options(text: Column) -> Column:
     """The options of "(A) x (B) y": letters in order from A, up to the first that is missing; trimmed."""
-    at = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.position(F.concat(F.lit("("), F.char(i + 65), F.lit(")")), text))
-    count = F.coalesce(F.nullif(F.array_position(F.transform(at, lambda p: F.when(p > 0, 1).otherwise(0)), 0), F.lit(0)) - 1, F.lit(26)).cast("int")
+    letters = F.array(*[F.lit(f"({chr(65 + i)})") for i in range(26)])
+
+    def cut(at: Column) -> Column:
+        def option(p: Column, i: Column) -> Column:
+            following = F.coalesce(F.get(at, i + 1), F.lit(0))
+            # as in a find from the front, a following letter that stands before its predecessor leaves an empty option
+            return _strip(F.when(following > 0, F.substr(text, p + 3, F.greatest(following - p - 3, F.lit(0)))).otherwise(F.substr(text, p + 3)))
 
-    def option(i: Column) -> Column:
-        start, following = F.get(at, i) + 3, F.coalesce(F.get(at, i + 1), F.lit(0))
-        # as in a find from the front, a following letter that stands before its predecessor leaves an empty option
-        return _strip(F.when(following > 0, F.substr(text, start, F.greatest(following - start, F.lit(0)))).otherwise(F.substr(text, start)))
+        missing = F.array_position(at, F.lit(0))
+        present = F.when(missing > 0, F.slice(at, F.lit(1), (missing - 1).cast("int"))).otherwise(at)
+        return F.transform(present, option)
 
-    return F.when(text.isNotNull(), F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), option)).otherwise(F.array().cast("array<string>")))
+    return F.when(text.isNotNull(), bind(F.transform(letters, lambda x: F.position(x, text)), cut))
 
 
 def join_options(options: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assize.functions.binding import bind
 from assize.functions.hashing import pick, pick_from
 from assize.functions.text import join_options, letter, letter_index, options_part, parse_options
 from assize.functions.vectors import cosine
@@ -77,26 +78,33 @@ def number_negatives(df: DataFrame, target: str = "target", key: str = "id") ->
 
 def swap_words(target: Column, key: Column, seed: int) -> Column:
     """Two different words change places; a text without two different words stays as it is."""
-    w = F.split(target, r"\s+")
-    n = F.size(w)
-    i = pick(key, seed, n)
-    others = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get(w, j) != F.get(w, i))
-    j = pick_from(others, key, seed + 1)
-    swapped = F.transform(w, lambda x, k: F.when(k == i, F.get(w, j)).when(k == j, F.get(w, i)).otherwise(x))
-    return F.when(j.isNull(), target).otherwise(F.array_join(swapped, " "))
+
+    def swap(w: Column) -> Column:
+        def at(i: Column) -> Column:
+            others = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda j: F.get(w, j) != F.get(w, i))
+            moved = lambda j: F.array_join(F.transform(w, lambda x, k: F.when(k == i, F.get(w, j)).when(k == j, F.get(w, i)).otherwise(x)), " ")
+            return bind(pick_from(others, key, seed + 1), lambda j: F.when(j.isNull(), target).otherwise(moved(j)))
+
+        return bind(pick(key, seed, F.size(w)), at)
+
+    return bind(F.split(target, r"\s+"), swap)
 
 
 def swap_share(target: Column, key: Column, seed: int, share: float = 0.3, most: int = 8) -> Column:
     """Swaps for ``share`` of the words, one at least and ``most`` at most, that don't undo each other: a rotation of hashed places."""
-    w = F.split(target, r"\s+")
-    n = F.size(w)
-    k = F.greatest(F.lit(1), F.least(F.floor(n * share), F.lit(most)).cast("int")) + 1
-    ranked = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}-"), i.cast("string"))).alias("h"), i.alias("i")))), lambda s: s["i"])
-    places = F.slice(ranked, F.lit(1), F.least(k, n))
-    at = lambda i: F.array_position(places, i)
-    moved = F.transform(w, lambda x, i: F.when(at(i) > 0, F.get(w, F.get(places, F.pmod(at(i).cast("int"), F.size(places))))).otherwise(x))
-    out = F.array_join(moved, " ")
-    return F.when(n < 2, target).when(out == target, swap_words(target, key, seed)).otherwise(out)
+
+    def rotate(w: Column) -> Column:
+        n = F.size(w)
+        k = F.greatest(F.lit(1), F.least(F.floor(n * share), F.lit(most)).cast("int")) + 1
+        tagged = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}-"), i.cast("string"))).alias("h"), i.alias("i")))
+        ranked = F.transform(F.array_sort(tagged), lambda s: s["i"])
+
+        def move(places: Column) -> Column:
+            return F.array_join(F.transform(w, lambda x, i: bind(F.array_position(places, i).cast("int"), lambda p: F.when(p > 0, F.get(w, F.get(places, F.pmod(p, F.size(places))))).otherwise(x))), " ")
+
+        return bind(F.slice(ranked, F.lit(1), F.least(k, n)), lambda p: bind(move(p), lambda out: F.when(n < 2, target).when(out == target, swap_words(target, key, seed)).otherwise(out)))
+
+    return bind(F.split(target, r"\s+"), rotate)
 
 
 def corrupt_brackets(target: Column, input: Column, key: Column, seed: int) -> Column:
@@ -124,7 +132,11 @@ def wrong_answers(df: DataFrame, models: list[str]) -> DataFrame:
 
 def choice_negatives(df: DataFrame, text: str = "input", target: str = "target", key: str = "id") -> DataFrame:
     """Adds options, random_negative (a wrong letter) and the shuffled form (shuffled_options, shuffled_target) of a question."""
-    options = parse_options(F.coalesce(options_part(F.col(text)), F.col(text)))
-    df = df.withColumn("options", options)
-    moved, new = rotate_options(F.col("options"), F.col(target), F.col(key), 12)
-    return df.withColumn("random_negative", wrong_letter(F.size("options"), F.col(target), F.col(key), 11)).withColumn("shuffled_options", join_options(moved)).withColumn("shuffled_target", new)
+    t, k = F.col(target), F.col(key)
+
+    def made(o: Column) -> Column:
+        moved, new = rotate_options(o, t, k, 12)
+        return F.struct(o.alias("options"), wrong_letter(F.size(o), t, k, 11).alias("random_negative"), join_options(moved).alias("shuffled_options"), new.alias("shuffled_target"))
+
+    parsed = parse_options(F.coalesce(options_part(F.col(text)), F.col(text)))
+    return df.withColumn("_made", F.explode(F.transform(F.array(parsed), made))).select(*df.columns, "_made.*")
