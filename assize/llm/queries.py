@@ -14,6 +14,7 @@ from assize.llm.leakage import leak_report, leaked_passages
 from assize.llm.neardup import expand_pairs, group_of, near_duplicates
 from assize.llm.packing import fill_report, pack, token_sizes
 from assize.llm.pairs import broken_pairs
+from assize.llm.sql import ORACLES as SQL
 from assize.llm.subset import varied_subsets
 from assize.llm.tokens import estimate_tokens, token_budget, token_models
 from assize.llm.truncation import truncated_values, truncation_rates
@@ -123,4 +124,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_normalised": p8_normalised,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(SQL)
