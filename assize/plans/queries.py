@@ -196,6 +196,24 @@ def _prompt_sql(mode: str) -> str:
     )
 
 
+def _render_sql(mode: str, task: str, input: str, response: str, scoring: str, second: str = "''") -> str:
+    lines = " || '\n' || ".join(f"'{P.LINE_NAMES.get(k, k)}: ' || coalesce({scoring}['{k}'], '')" for k in rubrics.KEYS[mode])
+    opening = P.OPENING_TWO if mode == "pairwise" else P.OPENING
+    body = f"'### RESPONSE 1\n' || coalesce({response}, '') || '\n\n### RESPONSE 2\n' || coalesce({second}, '')" if mode == "pairwise" else f"'### RESPONSE\n' || coalesce({response}, '')"
+    return f"md5({_sql_text(opening)} || '\n\n### TASK\n' || coalesce({task}, '') || '\n\n### INPUT\n' || coalesce({input}, '') || '\n\n' || {body} || '\n\n### EVALUATION RUBRIC\n' || {lines} || '\n\n### OUTPUT FORMAT\n' || {_sql_text(P.OUTPUT + chr(10) * 2 + P.answer_schema(mode))} || '\n\n### EVALUATION')"
+
+
+def _first_rubric(mode: str) -> str:
+    return f"rub_{mode} AS (SELECT variants FROM rubrics WHERE eval_mode = '{mode}' ORDER BY rubric_id LIMIT 1)"
+
+
+def _picked(mode: str, source: str, key: str, columns: str, out: str, input: str, response: str, second: str = "''", order: str = "") -> str:
+    """Rows of ``source`` with a prompt by the hashed variant of the mode's first rubric."""
+    swap = f", (row_number() OVER (ORDER BY {order}) - 1) % 2 = 1 AND {second} IS NOT NULL AS swap" if order else ""
+    a, b = (f"CASE WHEN swap THEN {second} ELSE {response} END", f"CASE WHEN swap THEN {response} ELSE {second} END") if order else (response, second)
+    return f"SELECT {out}, {_render_sql(mode, 'v.description', input, a, 'v.scoring', b)} AS prompt_md5 FROM (SELECT s.*, variants[{_pick(key, 0, 'len(variants)')} + 1] AS v{swap} FROM {source} s, rub_{mode})"
+
+
 @_query(_prompt_sql("pointwise"))
 def prompt_pointwise(spark: SparkSession, d: str) -> DataFrame:
     x = P.prompt_rows(_rubric_rows(spark, d, "pointwise"), F.col("variants"), "pointwise", "input", "response", key="resp_id")
@@ -453,13 +471,16 @@ def agglomerative_blocks(spark: SparkSession, d: str) -> DataFrame:
     return sampling.agglomerate(x.select("block", "id", "embedding"), (0.6, 0.8, 1.0))
 
 
-@_query()
+_STUB = "'{\"explanation\": \"stub\", \"score\": ' || (1 + cast('0x' || substr(md5(coalesce(prompt, '')), 1, 8) as bigint) % 5) || '}'"
+
+
+@_query(f"WITH {_PROMPTS} SELECT id::varchar AS id, {_STUB} AS response, NULL::varchar AS reasoning_content FROM pr")
 def completion_stub(spark: SparkSession, d: str) -> DataFrame:
     p = fx.prompts(spark, d).select("id", "prompt")
     return completion.complete(p, completion.stub_client)
 
 
-@_query()
+@_query(f"WITH {_TRUTH}, {_TRACES}, a AS (SELECT id, seed, prompt || seed AS prompt FROM tr, (SELECT unnest(range(5)) AS seed)), r AS (SELECT id, seed, {_score(_STUB)} AS answer FROM a) SELECT r.id, count(*) FILTER (answer IS NOT DISTINCT FROM score) AS n_correct FROM r LEFT JOIN truth ON r.id = truth.id GROUP BY 1")
 def seed_filter_stub(spark: SparkSession, d: str) -> DataFrame:
     """Both stages with the stub model: answers of five seeds, counted against the truth."""
     p = completion.seeded(fx.traces(spark, d).select("id", "prompt"))
@@ -485,25 +506,38 @@ def reshape_style_pairs(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "score", F.when(F.length("prompt") > 200, 1).otherwise(0).alias("has_prompt"))
 
 
-@_query()
+@_query(
+    f"WITH {_MC}, {_first_rubric('binary')}, r AS (SELECT id || '-true' AS id, question || '\nOptions:\n' || labelled AS input, ['(A)', '(B)', '(C)', '(D)'][answer + 1] AS response, 'true' AS score FROM lab UNION ALL SELECT id || '-false', question || '\nOptions:\n' || labelled, list_filter(['(A)', '(B)', '(C)', '(D)'], lambda x: x <> ['(A)', '(B)', '(C)', '(D)'][answer + 1])[{_pick('id', 0, 3)} + 1], 'false' FROM lab) "
+    f"SELECT id, response, score, {_render_sql('binary', 'variants[1].description', 'input', 'response', 'variants[1].scoring')} AS prompt_md5 FROM r, rub_binary"
+)
 def reshape_choices(spark: SparkSession, d: str) -> DataFrame:
-    return reshape.choice_prompts(fx.choice_questions(spark, d), _one_rubric(spark, d, "binary"))
+    x = reshape.choice_prompts(fx.choice_questions(spark, d), _one_rubric(spark, d, "binary"))
+    return x.select("id", "response", "score", F.md5("prompt").alias("prompt_md5"))
 
 
-@_query()
+@_query(
+    f"WITH {_TRACES}, {_first_rubric('pairwise')}, s AS (SELECT id, coalesce(prompt, '') AS input, coalesce(r1_response, '') AS chosen, coalesce(r1_reasoning_trace, '') AS rejected, nullif(lower(trim(source)), '') AS source FROM tr) "
+    + _picked("pairwise", "s", "id", "", "id, CASE WHEN swap THEN 'Response 2' ELSE 'Response 1' END AS score, source", "input", "chosen", "rejected", "id")
+)
 def reshape_preferences(spark: SparkSession, d: str) -> DataFrame:
     m = lambda role, c: F.struct(F.lit(role).alias("role"), F.coalesce(F.col(c), F.lit("")).alias("content"))
     x = fx.traces(spark, d).select("id", F.array(m("user", "prompt"), m("assistant", "r1_response")).alias("chosen"), F.array(m("assistant", "r1_reasoning_trace"), m("user", "prompt")).alias("rejected"), canonical(F.col("source")).alias("source"))
-    return reshape.pairwise_prompts(reshape.preference_rows(x), _one_rubric(spark, d, "pairwise")).select("id", "prompt", "score", "source")
+    return reshape.pairwise_prompts(reshape.preference_rows(x), _one_rubric(spark, d, "pairwise")).select("id", "score", "source", F.md5("prompt").alias("prompt_md5"))
 
 
-@_query()
+@_query(
+    f"WITH {_MC}, {_first_rubric('binary')}, s AS (SELECT id || '-true' AS ID, question AS input, choices[answer + 1] AS response, 'true' AS score FROM mc UNION ALL SELECT id || '-false', question, choices[(answer + 1) % 4 + 1], 'false' FROM mc) "
+    + _picked("binary", "s", "ID", "", "ID, score", "input", "response")
+)
 def reshape_golden(spark: SparkSession, d: str) -> DataFrame:
     q = fx.choice_questions(spark, d).select(F.col("id").cast("string").alias("ID"), "question", F.get("choices", F.col("answer")).alias("golden_answer"), F.get("choices", F.pmod(F.col("answer") + 1, F.lit(4))).alias("negative_answer"))
-    return reshape.golden_prompts([q], _one_rubric(spark, d, "binary"))
+    return reshape.golden_prompts([q], _one_rubric(spark, d, "binary")).select("ID", "score", F.md5("prompt").alias("prompt_md5"))
 
 
-@_query()
+@_query(
+    f"WITH {_first_rubric('pointwise')}, s AS (SELECT doc_id AS id, text, kind, metric, score::double AS score FROM (UNPIVOT (SELECT doc_id, text, kind, {', '.join(f'{_pick("doc_id", 60 + i, 5)} + 1 AS {m}' for i, m in enumerate(reshape.SUMMARY_METRICS))} FROM documents) ON {', '.join(reshape.SUMMARY_METRICS)} INTO NAME metric VALUE score)) "
+    + _picked("pointwise", "s", "id", "", "id, metric, score", "text", "kind")
+)
 def reshape_summaries(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.col("kind").alias("hyp"), *[(pick(F.col("doc_id"), 60 + i, 5) + 1).alias(f"expert_{m}") for i, m in enumerate(reshape.SUMMARY_METRICS)])
     r = _one_rubric(spark, d, "pointwise")
@@ -514,7 +548,13 @@ def reshape_summaries(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "metric", "score", F.md5("prompt").alias("prompt_md5"))
 
 
-@_query()
+@_query(
+    f"WITH {_first_rubric('binary')}, {_first_rubric('pointwise')}, b AS (SELECT text AS article, kind AS summary, {_pick('doc_id', 70, 2)} AS f, {_pick('doc_id', 71, 5)} + 1 AS c FROM documents), "
+    "o AS (SELECT *, row_number() OVER (ORDER BY coalesce(article, '') || chr(1) || coalesce(summary, ''), article NULLS FIRST, summary NULLS FIRST, f, c) - 1 AS id FROM b) "
+    + _picked("binary", "o", "id", "", "'faithfulness' AS split, id, f::varchar AS score", "article", "summary")
+    + " UNION ALL "
+    + _picked("pointwise", "o", "id", "", "'coherence' AS split, id, c::varchar AS score", "article", "summary")
+)
 def reshape_articles(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select(F.col("text").alias("article"), F.col("kind").alias("summary"), pick(F.col("doc_id"), 70, 2).alias("faithfulness"), (pick(F.col("doc_id"), 71, 5) + 1).alias("coherence"))
     return reshape.article_prompts(x, {"faithfulness": _one_rubric(spark, d, "binary"), "coherence": _one_rubric(spark, d, "pointwise")}).select("split", "id", "score", F.md5("prompt").alias("prompt_md5"))
@@ -526,7 +566,10 @@ def reshape_own_rubric(spark: SparkSession, d: str) -> DataFrame:
     return reshape.feedback_prompts(x).select("id", "score", F.md5("prompt").alias("prompt_md5"))
 
 
-@_query()
+@_query(
+    f"WITH {_first_rubric('binary')}, n AS ({ORACLES['numeric_perturb']}), s AS (SELECT id || '-' || name AS id, 'How large is part ' || id AS input, response::varchar AS response, CASE name WHEN 'target' THEN 'true' ELSE 'false' END AS score FROM (UNPIVOT n ON target, random_negative, easy_negative, hard_negative INTO NAME name VALUE response)) "
+    + _picked("binary", "s", "id", "", "id, response, score", "input", "response")
+)
 def reshape_tasks(spark: SparkSession, d: str) -> DataFrame:
     q = numeric_perturb(spark, d).withColumn("input", F.concat(F.lit("How large is part "), F.col("id").cast("string")))
     return reshape.task_prompts(q, _one_rubric(spark, d, "binary"), {"target": "true", "random_negative": "false", "easy_negative": "false", "hard_negative": "false"}).select("id", "response", "score", F.md5("prompt").alias("prompt_md5"))
