@@ -31,11 +31,14 @@ _BARE = re.compile(rf"^[\s\W_]*{_VALUE}[\s\W_]*$", re.I)
 _LABELLED = re.compile(rf"^[\s\W_]*{_LABEL}[\s*_`\"]*[:=][\s*_`\"\[(]*{_VALUE}[\s\W_]*$", re.I)
 _INLINE = re.compile(rf"(?<=[.!?…»”\")])\s+[*_`]*{_LABEL}[*_`]*\s*[:=]\s*[*_`\"\[(]*{_VALUE}[\s\W_]*$", re.I)
 _ARROW = re.compile(rf"(?<=[.!?…»”\")])\s*(?:[=\-–—]*[>→⇒]+|[–—|/]+)\s*[*_`\"\[(]*{_VALUE}[\s\W_]*$", re.I)
-_ASIDE = re.compile(r"(?<=[.!?…»”\")\s])\s*[(\[<][^()\[\]<>]{1,40}[)\]>]\s*$")
+_ASIDE = re.compile(r"(?<=[.!?…»”\")])\s*[(\[<][^()\[\]<>]{1,40}[)\]>]\s*$")
 _OPEN_VERDICT = re.compile(r"^[\s*_`#\"]*(?:final |overall )?(?:score|verdict|rating)[\s*_`\"]*[:=]?[\s*_`\"\[(]*(?:resp(?:onse?)?)?\s*$", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*+•–◦‣]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 _BARE_ITEM = re.compile(r"^\s*(?:[-*+•◦‣]|\(?\d{1,3}[.)])\s*$")
-_REMARK = re.compile(r"^\s*(?:\(.*\)|\[.*\]|<.*>|([—–\-=*_~#]{1,5})\s*\S.*\S\s*\1|[—–\-=*_~#]{3,})\s*$")
+_ENCLOSED = re.compile(r"^\s*(?:\(.*\)|\[.*\]|<.*>|[—–\-=*_~#]{3,})\s*$")
+_RULED = re.compile(r"^\s*([—–\-=*_~#]{1,5})(?![—–\-=*_~#])(.*\S.*?)(?<![—–\-=*_~#])([—–\-=*_~#]{1,5})\s*$")
+_ELLIPSIS = re.compile(r"\s*(?:[\[(]\s*(?:…|\.{3,})\s*[\])]|…|\.{3,})$")
+_MARKUP = re.compile(r"^\s*[*_`#~>-]{1,2}\s*$")
 _CLOSERS = "\"'”’»›)]}*_`>“"
 _STOPS = ".!?…。！？؟।"
 _PAIRS = (("“", "”"), ("«", "»"), ("„", "“"), ("(", ")"), ("[", "]"))
@@ -55,12 +58,17 @@ class Answer(NamedTuple):
 def ends_open(prose: str) -> bool:
     """Whether running text stops within a word or sentence: no closing mark, or only an abbreviation's full stop."""
     t = prose.rstrip()
+    if t.endswith("\ufffd"):  # the rest of a character is missing
+        return True
+    if m := _ELLIPSIS.search(t):  # marks what was left out, unless a sentence was complete before
+        before = t[: m.start()].rstrip(_CLOSERS + " \n\t")
+        return not before or before[-1] not in _STOPS
     core = t.rstrip(_CLOSERS + " \n\t")
     if not core:
         return False
     if core[-1] not in _STOPS:
         return True
-    if core[-1] == "." and not core.endswith("..."):
+    if core[-1] == ".":
         last = core.rsplit(None, 1)[-1].lstrip("(\"“«'").rstrip(".").lower()
         if last in ABBREVIATIONS and len(t) - len(core) == 0:
             return True
@@ -93,6 +101,12 @@ def is_placeholder(text: str) -> bool:
     return not core or core in PLACEHOLDERS or (len(core) < 60 and core.split(":")[0].strip() in ("error", "exception", "traceback", "fehler", "ошибка"))
 
 
+def is_remark(line: str) -> bool:
+    """A line wholly within brackets or between the same rules on both sides."""
+    m = _RULED.match(line)
+    return bool(_ENCLOSED.match(line)) or (m is not None and m.group(1) == m.group(3))
+
+
 def is_verdict(text: str) -> bool:
     return bool(_BARE.match(text) or _LABELLED.match(text))
 
@@ -109,7 +123,7 @@ def _plain(body: str) -> Answer:
         return Answer("verdict", "", True, False, "")
     lines[-1] = lines[-1].rstrip()
     signed = len(lines[-1])
-    while lines[-1] and unicodedata.category(lines[-1][-1]) in ("So", "Sm", "Sk", "Cn", "Mn"):
+    while lines[-1] and lines[-1][-1] != "\ufffd" and unicodedata.category(lines[-1][-1]) in ("So", "Sm", "Sk", "Cn", "Mn"):
         lines[-1] = lines[-1][:-1].rstrip()
     signed = len(lines[-1]) < signed
     if not lines[-1]:
@@ -118,17 +132,17 @@ def _plain(body: str) -> Answer:
             return Answer("verdict", "", False, False, "")
     if not verdict and (m := _INLINE.search(lines[-1]) or _ARROW.search(lines[-1])):
         lines[-1], verdict = lines[-1][: m.start()], True
+    if not verdict and (_OPEN_VERDICT.match(lines[-1]) or (len(lines) > 1 and _MARKUP.match(lines[-1]))):
+        return Answer("prose", "\n".join(lines), False, True, lines[-1].strip())
     closed = verdict or signed
     if not closed and (m := _ASIDE.search(lines[-1])) and lines[-1][: m.start()].strip():
         lines[-1], closed = lines[-1][: m.start()], True
-    while len(lines) > 1 and _REMARK.match(lines[-1]):
+    while len(lines) > 1 and is_remark(lines[-1]):
         closed = True
         lines.pop()
     prose = "\n".join(lines)
     if closed:
         return Answer("prose", prose, verdict, False, "")
-    if _OPEN_VERDICT.match(lines[-1]):
-        return Answer("prose", prose, False, True, lines[-1].strip())
     items = [x for x in lines if _ITEM.match(x)]
     if items and _ITEM.match(lines[-1]):
         stops = [not ends_open(x) for x in items[:-1]]

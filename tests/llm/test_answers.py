@@ -20,7 +20,7 @@ def test_bare_verdicts(text):
 @pytest.mark.parametrize(
     "text",
     [
-        "It holds. Score: 4", "It holds.\n\nscore: true", "It holds.\n(checked twice)", "It holds. ✔", "It holds. => Response 2", "It holds. (done)", "It holds.\n— end of review —", "It holds…", "Is it so?", 'He said "stop."',
+        "It holds. Score: 4", "It holds.\n\nscore: true", "It holds.\n(checked twice)", "It holds. ✔", "It holds. => Response 2", "It holds. (done)", "It holds.\n— end of review —", "It holds. …", "It holds. [...]", "Is it so?", 'He said "stop."',
         "- one thing\n- another thing\n- a third thing", "1) one\n2) two", "- It holds.\n- It fits.", "- It holds.\n\n**score**: 2", '{"explanation": "It holds.", "score": 1}', "```\nIt holds.\n```", "It says “so”.", "It costs 4.5.",
     ],
 )
@@ -33,6 +33,7 @@ def test_finished(text):
     [
         "It holds. The seco", "It holds. The second part", "It holds,", "It points to cf.", "It holds. He said “and so.", '{"explanation": "It holds. The seco', '{"explanation": "It holds.", "score', "```json\n{\"explanation\": \"It holds.\"",
         '{"explanation": "It holds. The seco", "score": 3}', "- It holds.\n- The sec", "It holds.\n\nscore:", "It holds.\nFinal sc", "1. It holds.\n2.", '```json\n{"explanation": "The seco", "score": 3}\n```', "Respon",
+        "It holds. The seco…", "It holds. The seco...", "It holds. The seco [...]", "It holds. The seco\ufffd", "It holds.\n\n**score**", "It holds.\n**", "It holds.\n**scor*", '{"explanation": "It holds. The se\ufffd", "score": 1}',
     ],
 )
 def test_cut(text):
