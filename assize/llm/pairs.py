@@ -134,7 +134,7 @@ class Reader:
         short = max(0.0, 1 - len(base) / 100)
         no_score = float(bool(re.search(r'"score"\s*:\s*(?:null|""|"null"|"n/a")', (response or "").lower())))
         empty = float(a.shell == "empty")
-        dense = [1.0, empty * 4, float(a.shell == "verdict"), float(a.cut) * 4, share * 2, float(share >= 0.8) * 4, float(share >= 0.8 and a.verdict), foreign * 3, margin * foreign, short, fresh * 3, fresh * short * 3, no_score, float(a.verdict), float(len(own) < len(all_))]
+        dense = [1.0, empty * 5, float(a.shell == "verdict"), float(a.cut) * 8, share * 2, float(share >= 0.8) * 4, float(share >= 0.8 and a.verdict), foreign * 3, margin * foreign, short, fresh * 3, fresh * short * 3, no_score, float(a.verdict), float(len(own) < len(all_))]
         grams = np.unique(np.concatenate([_mix([base]), pairs, _grams(base, 3)]) % np.uint64(BUCKETS)).astype(np.int64) if len(base) else np.empty(0, np.int64)
         return np.array(dense), grams
 
