@@ -54,7 +54,8 @@ def by_similarity(options: DataFrame, id: str = "id", option: str = "option", ve
 
 def flip_binary(df: DataFrame, target: str = "target", name: str = "random_negative") -> DataFrame:
     """Adds the other one of the two labels that occur; null where more or fewer occur."""
-    labels = df.agg(F.array_sort(F.collect_set(target)).alias("_labels"))  # two values in valid data
+    some = df.select(target).where(F.col(target).isNotNull()).distinct().limit(3)  # a third one is enough to refuse
+    labels = some.agg(F.array_sort(F.collect_list(target)).alias("_labels"))
     other = F.get(F.array_remove("_labels", F.col(target)), F.lit(0))
     return df.join(F.broadcast(labels)).withColumn(name, F.when(F.size("_labels") == 2, other)).drop("_labels")
 

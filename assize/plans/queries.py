@@ -11,9 +11,10 @@ from assize.functions.hashing import pick
 from assize.functions.scoring import extract_score, int_score
 from assize.functions.text import embedding_text, join_options, label_options, option_text, parse_options, task_and_input
 from assize.functions.vectors import l2_normalise
-from assize.operators import completion, curation, evaluators, negatives, pairing, reshape, rubrics, sampling
+from assize.operators import completion, curation, evaluators, generation, negatives, pairing, reshape, rubrics, sampling
 from assize.operators import prompts as P
 from assize.plans import fixtures as fx
+from assize.plans.lineage import settle
 from assize.sources.tables import canonical, table
 from assize.streaming.answers import parse_rates
 
@@ -573,3 +574,39 @@ def reshape_own_rubric(spark: SparkSession, d: str) -> DataFrame:
 def reshape_tasks(spark: SparkSession, d: str) -> DataFrame:
     q = numeric_perturb(spark, d).withColumn("input", F.concat(F.lit("How large is part "), F.col("id").cast("string")))
     return reshape.task_prompts(q, _one_rubric(spark, d, "binary"), {"target": "true", "random_negative": "false", "easy_negative": "false", "hard_negative": "false"}).select("id", "response", "score", F.md5("prompt").alias("prompt_md5"))
+
+
+# around model calls
+
+
+@_query(
+    f"WITH {_PRED}, k AS (SELECT r.eval_mode, CASE WHEN json_valid(p.response) THEN p.response END AS j FROM pred p JOIN rubrics r USING (rubric_id)), "
+    "v AS (SELECT eval_mode, CASE WHEN json_type(j) = 'OBJECT' AND list_sort(json_keys(j)) = ['explanation', 'score'] AND (j ->> '$.explanation') IS NOT NULL AND regexp_matches(j ->> '$.score', CASE eval_mode WHEN 'pointwise' THEN '^[1-5]$' WHEN 'pairwise' THEN '^Response [12]$' ELSE '(?i)^(true|false)$' END) THEN j ->> '$.score' END AS score FROM k) "
+    "SELECT eval_mode, count(*) AS n, count(score) AS n_closed FROM v GROUP BY 1"
+)
+def answer_schema(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.predictions(spark, d).join(table(spark, d, "rubrics").select("rubric_id", "eval_mode"), "rubric_id")
+    score = F.coalesce(*[F.when(F.col("eval_mode") == m, generation.closed_answer(F.col("response"), m)["score"]) for m in rubrics.KEYS])
+    return p.groupBy("eval_mode").agg(F.count(F.lit(1)).alias("n"), F.count(score).alias("n_closed"))
+
+
+@_query(f"WITH {_NEAREST} SELECT id, CASE WHEN cluster < 8 THEN 'topic ' || cluster END AS category FROM near")
+def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
+    names = F.lit(", ".join(f"topic {i}" for i in range(8)))
+    return generation.label_clusters(_nearest(spark, d), names).select("id", "category")
+
+
+@_query()
+def rubric_requests(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "rubrics").withColumn("v", F.get("variants", F.lit(0)))
+    known = sampling.stub_vectors(r.select(F.crc32("rubric_id").alias("id"), F.col("v.description").alias("description"), F.to_json("v.scoring").alias("s")), "description").withColumn("scoring", F.from_json("s", "map<string,string>"))
+    aspects = r.select("aspect").distinct().select(F.crc32("aspect").alias("id"), F.concat(F.lit("Judge the "), "aspect").alias("task"))
+    tasks = sampling.stub_vectors(aspects, "task").withColumn("examples", F.array(F.struct(F.lit("a text").alias("input"), F.lit("4").alias("target"))))
+    return generation.rubric_prompts(tasks, known)
+
+
+@_query()
+def negative_answers_stub(spark: SparkSession, d: str) -> DataFrame:
+    x = negatives.wrong_answers(fx.votes(spark, d), fx.MODELS)
+    x = x.select(F.col("id").alias("ID"), F.concat(F.lit("What is the score of "), F.col("id").cast("string"), F.lit("?")).alias("question"), F.lit("x").alias("golden_answer"), "wrong_answers")
+    return generation.negative_answers(x, completion.stub_client, settle).select("ID", "negative_answer")
