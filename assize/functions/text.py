@@ -11,6 +11,13 @@ from assize.functions.binding import bind
 TASK_INPUT = r"(?s)### TASK\s+(.*?)\s+### RESPONSE"
 OPTIONS_MARK = "Options:\n"
 LABELS = ["(A)", "(B)", "(C)", "(D)"]
+#: Formats of instructions, few-shot lines, numbered examples and training text.
+INSTRUCTION = "Instruction: %s\nQuery: %s"
+EMBEDDED = "Instruct: %s\nQuery: "
+FEWSHOT_HEAD = "Below are some examples:\n"
+FEWSHOT_LINE = "Question: %s Answer: %s\n"
+EXAMPLE_HEAD = "Example %s:\n"
+THINK = "<think>%s</think>%s"
 
 
 def task_and_input(prompt: Column) -> Column:
@@ -20,11 +27,11 @@ def task_and_input(prompt: Column) -> Column:
 
 def embedding_text(prompt: Column, instruction: str) -> Column:
     """What is embedded for a prompt: an instruction and the task with its input as the query."""
-    return F.concat(F.lit(f"Instruct: {instruction}\nQuery: "), task_and_input(prompt))
+    return F.concat(F.lit(EMBEDDED % instruction), task_and_input(prompt))
 
 
 def instruct(task: Column, query: Column) -> Column:
-    return F.format_string("Instruction: %s\nQuery: %s", task, query)
+    return F.format_string(INSTRUCTION, task, query)
 
 
 def letter(i: Column) -> Column:
@@ -105,18 +112,18 @@ def id_cell(id: Column) -> tuple[Column, Column]:
 
 def think_text(trace: Column, response: Column) -> Column:
     """Training text of a trace and its response; a null adds nothing."""
-    return F.concat(F.lit("<think>"), F.coalesce(trace, F.lit("")), F.lit("</think>"), F.coalesce(response, F.lit("")))
+    return F.format_string(THINK, F.coalesce(trace, F.lit("")), F.coalesce(response, F.lit("")))
 
 
 def fewshot_block(examples: Column) -> Column:
     """Examples (input, target) as lines under a heading; empty without examples."""
-    lines = F.array_join(F.transform(examples, lambda e: F.concat(F.lit("Question: "), e["input"], F.lit(" Answer: "), e["target"], F.lit("\n"))), "")
-    return F.when(F.size(examples) > 0, F.concat(F.lit("Below are some examples:\n"), lines)).otherwise(F.lit(""))
+    lines = F.array_join(F.transform(examples, lambda e: F.format_string(FEWSHOT_LINE, e["input"], e["target"])), "")
+    return F.when(F.size(examples) > 0, F.concat(F.lit(FEWSHOT_HEAD), lines)).otherwise(F.lit(""))
 
 
 def example_block(samples: Column, title: str = "Examples") -> Column:
     """Numbered JSON examples under a title."""
-    parts = F.transform(samples, lambda s, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), F.to_json(s, {"pretty": "true"})))
+    parts = F.transform(samples, lambda s, i: F.concat(F.format_string(EXAMPLE_HEAD, (i + 1).cast("string")), F.to_json(s, {"pretty": "true"})))
     return F.array_join(F.concat(F.array(F.lit(title)), parts), "\n")
 
 

@@ -41,7 +41,11 @@ def merge_summaries(traces: DataFrame, summaries: DataFrame, key: str = "id") ->
     return out.withColumn("r1_raw_sft_summarized", think_text(F.col("r1_reasoning_trace_summarized"), F.col("r1_response")))
 
 
-def summary_request(trace: Column, instruction: str = "Shorten the following reasoning trace by removing redundant thinking loops, keeping its tone, style and progression of thought. Output only the shortened trace.") -> Column:
+#: What a summary is asked for; a parameter.
+SHORTEN = "Make this reasoning shorter. Leave out what is said twice or leads nowhere, keep its voice and the order of its steps, and write nothing else."
+
+
+def summary_request(trace: Column, instruction: str = SHORTEN) -> Column:
     return F.concat(F.lit(f"{instruction}\n\n"), trace)
 
 

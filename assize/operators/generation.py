@@ -41,7 +41,7 @@ def rubric_prompts(tasks: DataFrame, known: DataFrame, k: int = 5, seeds: int =
     near = retrieve_top_k(tasks, known, k).join(known.select(F.col("id").alias("item_id"), "description", "scoring"), "item_id")
     samples = near.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "description", F.to_json("scoring").alias("scoring")))).alias("xs"))  # k rows each
     shown = F.transform(F.coalesce("xs", F.array().cast("array<struct<rank:int,description:string,scoring:string>>")), lambda x: F.struct(x["description"].alias("description"), F.from_json(x["scoring"], "map<string,string>").alias("scoring")))
-    block = example_block(shown, "### Example rubrics (Unrelated Tasks)")
+    block = example_block(shown, "### Rubrics of other tasks")
     p = tasks.join(samples, "id", "left").withColumn("prompt", rubric_request(F.col("task"), block, fewshot_block(F.col("examples"))))
     return seeded(p.select("id", "prompt"), seeds)
 

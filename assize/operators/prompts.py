@@ -77,30 +77,36 @@ def position_label(ordinal: Column) -> Column:
     return F.when(F.pmod(ordinal, F.lit(2)) == 0, "Response 1").otherwise("Response 2")
 
 
-#: What is asked for in a wrong-answer prompt; a parameter, so that a project can word it with its own examples.
-WRONG_ANSWER = "Give one plausible but incorrect answer to the question, taken from the wrong answers if one of them fits."
-FIX_ANSWER = "Return only the incorrect answer as a single phrase, without any explanation."
+#: What is asked for; parameters, so that a project can word them with its own examples.
+WRONG_ANSWER = "Name a believable answer to this question that is wrong. Use one of those listed if it serves."
+FIX_ANSWER = "Cut the wrong answer below down to the bare term or phrase."
+NEW_RUBRIC = "Describe what an answer to this task must look like to get each score from 1 to 5."
+NAME_CLUSTERS = "Give every cluster a short name of its own. Answer with the names alone, separated by commas, lowest cluster first."
+#: Formats of the blocks in these prompts.
+TASK_BLOCK = "### Task\n"
+QUESTION, CORRECT, WRONG_HEAD, WRONG, ANSWER = "Question: ", "\nCorrect Answer: ", "Wrong Answers:\n", "\nNegative Answer: ", "Response:"
+CLUSTER_HEAD = "Cluster %s examples:\n"
 
 
 def wrong_answer_prompt(question: Column, correct: Column, wrong: Column, instruction: str = WRONG_ANSWER) -> Column:
     """Asks for a wrong answer; the list of known wrong ones is left out where it is null or empty."""
-    known = F.concat(F.lit("Wrong Answers:\n"), F.array_join(F.transform(wrong, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n\n"))
-    return F.concat(F.lit(f"{instruction}\n\n### Task\nQuestion: "), question, F.lit("\nCorrect Answer: "), correct, F.lit("\n"), F.when(F.size(wrong) > 0, known).otherwise(F.lit("")), F.lit("Response:"))
+    known = F.concat(F.lit(WRONG_HEAD), F.array_join(F.transform(wrong, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n\n"))
+    return F.concat(F.lit(f"{instruction}\n\n{TASK_BLOCK}{QUESTION}"), question, F.lit(CORRECT), correct, F.lit("\n"), F.when(F.size(wrong) > 0, known).otherwise(F.lit("")), F.lit(ANSWER))
 
 
 def fix_answer_prompt(question: Column, correct: Column, wrong: Column, instruction: str = FIX_ANSWER) -> Column:
-    return F.concat(F.lit(f"{instruction}\n\n### Task\nQuestion: "), question, F.lit("\nCorrect Answer: "), correct, F.lit("\nNegative Answer: "), wrong, F.lit("\nResponse:"))
+    return F.concat(F.lit(f"{instruction}\n\n{TASK_BLOCK}{QUESTION}"), question, F.lit(CORRECT), correct, F.lit(WRONG), wrong, F.lit("\n" + ANSWER))
 
 
-def rubric_request(task: Column, examples: Column, fewshot: Column, instruction: str = "Write a rubric with a description of each score from 1 to 5 for the task below.") -> Column:
+def rubric_request(task: Column, examples: Column, fewshot: Column, instruction: str = NEW_RUBRIC) -> Column:
     """Asks for a pointwise rubric, given few-shot items (a text, may be empty) and example rubrics (a text)."""
-    return F.concat(F.lit(f"{instruction}\n\n### Task\n"), task, F.lit("\n"), fewshot, F.lit("\n"), examples, F.lit("\n\n### Rubric for current task"))
+    return F.concat_ws("\n", F.lit(f"{instruction}\n\n{TASK_BLOCK}"), task, fewshot, examples, F.lit("\n### Rubric"))
 
 
-def cluster_naming_prompt(examples: DataFrame, instruction: str = "Suggest a distinct category name for each cluster, comma-separated, in the order of the clusters.") -> DataFrame:
+def cluster_naming_prompt(examples: DataFrame, instruction: str = NAME_CLUSTERS) -> DataFrame:
     """One row (prompt) from the few examples (cluster, rank, text) nearest to each of the clusters."""
     line = F.concat(F.lit("- "), F.coalesce("text", F.lit("")))
     each = examples.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("xs"))
-    block = F.concat(F.lit("Cluster "), F.col("cluster").cast("string"), F.lit(" examples:\n"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n"))
+    block = F.concat(F.format_string(CLUSTER_HEAD, F.col("cluster").cast("string")), F.array_join(F.transform("xs", lambda x: x["line"]), "\n"))
     all_ = each.select("cluster", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("cluster", "block"))).alias("bs"))
     return all_.select(F.concat(F.array_join(F.transform("bs", lambda x: x["block"]), "\n\n"), F.lit(f"\n\n{instruction}")).alias("prompt"))
