@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assize.plans.lineage import settle
 from assize.sources.tables import canonical, table
 
 
@@ -27,7 +28,8 @@ def judged_pairs(spark: SparkSession, d: str) -> DataFrame:
     task, inp = sections(F.col("prompt"))
     lang = canonical(F.col("lang")).alias("lang")
     a = t.select(F.lit("r1_response").alias("field_name"), F.col("id").alias("record_id"), F.col("id").alias("key"), task.alias("task"), inp.alias("input"), lang, F.col("r1_response").alias("response"))
-    p = p.select(F.col("id").alias("key"), task.alias("task"), inp.alias("input"), lang).dropDuplicates(["key"])
+    # a table of its own: only a join right after its exchanges can be split at run time where one prompt has very many answers
+    p = settle(p.select(F.col("id").alias("key"), task.alias("task"), inp.alias("input"), lang).dropDuplicates(["key"]), "asked")
     j = j.select(F.lit("response").alias("field_name"), F.col("resp_id").alias("record_id"), F.col("id").alias("key"), "response")
     b = j.join(p, "key", "left").select("field_name", "record_id", "key", "task", "input", "lang", "response")
     return a.unionByName(b)

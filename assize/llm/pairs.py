@@ -339,8 +339,8 @@ def broken_pairs(pairs: DataFrame, sample_pairs: int = SAMPLE_PAIRS) -> DataFram
     schema = "field_name string, record_id bigint, defect string"
     if not n:
         return spark.createDataFrame([], schema)
-    u = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    rows = p.where(u < min(1.0, sample_pairs / n)).select("task", "input", "response", "lang", "record_id", "field_name").collect()
+    u = F.pmod(F.xxhash64("field_name", "record_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
+    rows = p.where(u < min(1.0, sample_pairs / n)).dropDuplicates(["field_name", "record_id"]).select("task", "input", "response", "lang", "record_id", "field_name").collect()
     rows = sorted({(r.field_name, r.record_id, r.task, r.input, r.response, r.lang) for r in rows}, key=lambda r: (r[0], r[1]))
     held = spark.sparkContext.broadcast(train([r[2:] for r in rows]))
 

@@ -126,7 +126,7 @@ def token_models(records: DataFrame, folder: str = TOKENIZERS, vocabulary: str =
     rate = F.lit(0.0)
     for x in sizes:
         rate = F.when(F.col("lang").eqNullSafe(F.lit(x.lang)), min(1.0, SAMPLE_PER_LANGUAGE / x.n)).otherwise(rate)
-    picked = r.select("lang", "text", u, (F.pmod(F.xxhash64("id", F.lit(91)), F.lit(1 << 30)) / float(1 << 30)).alias("v")).where(F.col("v") < rate)
+    picked = r.select("id", "lang", "text", u, (F.pmod(F.xxhash64("id", F.lit(91)), F.lit(1 << 30)) / float(1 << 30)).alias("v")).where(F.col("v") < rate).dropDuplicates(["id"])
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
