@@ -122,7 +122,8 @@ def diverse_sample(df: DataFrame, takes: DataFrame, vector: str = "embedding", i
     """(cluster, id, how): of each cluster its share nearest to the centre, the rest chosen greedily for difference.
 
     ``df`` has id, vector, cluster, distance; ``takes`` has cluster, take. The greedy part looks at ``candidates`` rows
-    of a cluster, picked by a hash among the rows that aren't near ones, and only these reach a task.
+    of a cluster, or at as many as it has to choose if these are more, picked by a hash among the rows that aren't near
+    ones, and only these reach a task. Fewer rows than ``take`` come out only of a cluster that has fewer.
     """
     if candidates > MOST_CANDIDATES:
         raise ValueError(f"at most {MOST_CANDIDATES} candidates fit a task")
@@ -130,7 +131,7 @@ def diverse_sample(df: DataFrame, takes: DataFrame, vector: str = "embedding", i
     close = F.greatest(F.lit(1), F.floor(F.col("take") * (1 - diversity)).cast("int"))
     near = nearest_rows(rows.withColumn("_close", close), F.col("_close"), id=id).select("cluster", id, vector, "take", F.lit(True).alias("near"), F.lit(0).cast("bigint").alias("u"), "rank")
     rest = rows.join(near.select(id), id, "left_anti").withColumn("u", F.xxhash64(id, F.lit(42)))
-    rest = nearest_rows(rest.withColumn("_limit", F.lit(candidates)), F.col("_limit"), distance="u", id=id).select("cluster", id, vector, "take", F.lit(False).alias("near"), "u", "rank")
+    rest = nearest_rows(rest.withColumn("_limit", F.greatest(F.lit(candidates), F.col("take") - close)), F.col("_limit"), distance="u", id=id).select("cluster", id, vector, "take", F.lit(False).alias("near"), "u", "rank")
 
     def choose(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["near", "rank"], ascending=[False, True]).reset_index(drop=True)

@@ -463,7 +463,7 @@ def kmeans_select(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def mmr_sample(spark: SparkSession, d: str) -> DataFrame:
     x = _nearest(spark, d).select("id", "embedding", "cluster", "distance")
-    return sampling.diverse_sample(x, _takes(spark, d))
+    return sampling.diverse_sample(x, _takes(spark, d), candidates=20_000)
 
 
 @_query()
