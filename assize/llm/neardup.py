@@ -1,11 +1,11 @@
-"""All pairs of records whose sets of word runs are at least ``threshold`` alike (Jaccard), by pigeonring filtering.
+"""All pairs of records whose sets of word runs are at least ``threshold`` alike (Jaccard), by prefix filtering.
 
 Two sets of a and b runs are alike iff their Hamming distance is within the budget ``(1-t)/(1+t) * (a+b)``. Candidates come
 from an inverted index over each set's rarest runs, as many as a partner of the given size must share one of (order:
 counts over all records in a fixed-size sketch; any order finds all pairs). A set is also a ring of ``SEGMENTS`` parity
-maps, one for each part of the hash space; their bit differences never exceed the parts' true Hamming distances. Chains of
-consecutive segments must stay within their share of the budget; pairs without such a chain end in the join itself, and
-the rest gets the full Hamming check on the sets.
+maps, one for each part of the hash space; their bit differences never exceed the parts' true Hamming distances. Pairs whose
+differences are beyond the budget in sum end in the join itself, and the rest gets the full Hamming check on the sets.
+All maps are there at once, so that chains of some of them, as pigeonring filtering has them, would end no further pair.
 No pair above the threshold is lost, and exact copies are one set from the start.
 """
 
@@ -156,11 +156,11 @@ def _postings(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def ring_chain(differences: list[Column], budget: Column) -> Column:
-    """Whether the ring has a place from where chains of consecutive segments stay within their shares of the budget.
+    """Whether the ring as a whole stays within the budget: one bound on the sum of all differences.
 
-    Chains of half the ring are tried first: one of the two must stay within half of the budget, which ends most pairs.
-    The chain of all segments is the whole ring; by the pigeonring principle a ring within the budget has a place from
-    where all shorter chains are within theirs too, so that trying the rest of them would end no further pair.
+    The clause on halves ends no pair by itself, as one half of a sum within the budget is within half of it. By the
+    pigeonring principle a ring within the budget has a place from where all shorter chains are within their shares, so
+    that trying these once the whole sum is known would end no further pair either.
     """
     h = len(differences) // 2
     half = [reduce(lambda a, b: a + b, differences[:h]), reduce(lambda a, b: a + b, differences[h:])]
