@@ -2,7 +2,8 @@
 
 It is trained here, on synthetic defects made from a bounded sample of the table's own pairs (cut, copied, swapped between
 languages, refused and emptied answers, and sound ones with reported refusals and quotations), with one threshold for each
-label, calibrated on synthetic holdouts. Every pair of the table is then classified, over its whole texts.
+label, calibrated on synthetic holdouts. Which word pairs are usual is counted over all answers of the table, by language.
+Every pair of the table is then classified, over its whole texts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,14 @@ from assize.llm.phrases import REFUSALS, REPORTS
 
 LABELS = ("empty", "refusal", "copy", "other_language", "truncated")
 #: Pairs, in expectation, from which synthetic ones are made; a hash of the id picks them from the whole table.
-SAMPLE_PAIRS = 2_400
+SAMPLE_PAIRS = 3_000
 BUCKETS, LANG_BUCKETS, MOST_LANGUAGES = 1 << 15, 1 << 14, 30
 #: Logits below a threshold within which a sampled pair is suspected of being broken itself.
 SUSPECT = 1.5
 #: Least own words of answers that make known what answers usually say; declining ones are shorter.
 COMMON_WORDS = 24
+#: Share of a language's answers from which on a word pair is a usual one, and the least number of them.
+COMMON_SHARE, COMMON_LEAST = 0.004, 3
 _RUN = 4
 _QUOTED = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"\n]*\"|「[^」]*」")
 DENSE = ["one", "empty", "bare_verdict", "cut", "copied", "mostly_copied", "copied_with_verdict", "foreign", "foreign_margin", "short", "fresh", "fresh_short", "no_score", "has_verdict", "quoted"]
@@ -124,10 +127,10 @@ class Reader:
         all_, own = self.own_words(a)
         base = own if len(own) >= 4 else all_
         pairs = _grams(base, 2)
-        fresh = 1 - float(self.common[(pairs % BUCKETS).astype(np.int64)].mean()) if len(pairs) else 0.0
         share = covered(all_, source.runs)
         mine = self.languages.scores(base)
         top, home = int(np.argmax(mine)), int(np.argmax(source.scores))
+        fresh = 1 - float(self.common[top, (pairs % BUCKETS).astype(np.int64)].mean()) if len(pairs) else 0.0
         enough = len(base) >= 3
         margin = float(min(3.0, mine[top] - mine[home])) if enough else 0.0
         foreign = float(enough and top != home and margin > 0.15)
@@ -257,8 +260,41 @@ def synthetic_pairs(pairs: list[tuple[str, str, str, str]], seed: int = 5, bases
     return out
 
 
-def train(pairs: list[tuple[str, str, str | None, str | None]], seed: int = 5) -> Classifier:
-    """Fit on (task, input, response, lang) pairs; null responses and languages may be among them."""
+def count_pairs(responses: Iterable[str | None], languages: Languages, numbers: _Numbers) -> np.ndarray:
+    """By language, the answers in which each bucket of word pairs occurs, and last the number of answers counted."""
+    out = np.zeros((max(1, len(languages.names)), BUCKETS + 1), np.int64)
+    for r in responses:
+        n = np.array([numbers[w] for w in words(_QUOTED.sub(" ", read_answer(r).prose))], np.int64)
+        if len(n) >= COMMON_WORDS:
+            at = np.unique(_grams(n, 2) % np.uint64(BUCKETS)).astype(np.int64)
+            out[int(np.argmax(languages.scores(n))), np.append(at, BUCKETS)] += 1
+    return out
+
+
+def count_all(answers: DataFrame, languages: Languages) -> np.ndarray:
+    """``count_pairs`` over a whole table (response): each task sends its sums, one table of fixed size reaches the driver."""
+    held = answers.sparkSession.sparkContext.broadcast(languages)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, total = _Numbers(), 0
+        for b in batches:
+            total = total + count_pairs((r if isinstance(r, str) else None for r in b["response"]), held.value, numbers)
+        if not isinstance(total, int):
+            k, at = np.nonzero(total)
+            yield pd.DataFrame({"k": k.astype(np.int32), "at": at.astype(np.int32), "n": total[k, at]})
+
+    sums = answers.select("response").mapInPandas(count, "k int, at int, n bigint").groupBy("k", "at").agg(F.sum("n").alias("n"))
+    got = sums.toArrow().to_pandas()  # at most MOST_LANGUAGES * (BUCKETS + 1) rows
+    out = np.zeros((max(1, len(languages.names)), BUCKETS + 1), np.int64)
+    out[got["k"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def train(pairs: list[tuple[str, str, str | None, str | None]], seed: int = 5, counts: Callable[[Languages], np.ndarray] | None = None) -> Classifier:
+    """Fit on (task, input, response, lang) pairs; null responses and languages may be among them.
+
+    ``counts`` gives the table's counts of word pairs; without it those of the pairs themselves are taken.
+    """
     numbers = _Numbers()
     texts, labels = [], []
     for task, inp, r, lang in pairs:
@@ -267,20 +303,18 @@ def train(pairs: list[tuple[str, str, str | None, str | None]], seed: int = 5) -
                 texts.append([numbers[w] for w in words(t or "") if not w.isdigit()])
                 labels.append(lang)
     languages = Languages(texts, labels)
-    count = np.zeros(BUCKETS)
     kept = []
     for task, inp, r, lang in pairs:
         a = read_answer(r)
         n = np.array([numbers[w] for w in words(_QUOTED.sub(" ", a.prose))], np.int64)
         src = languages.scores(np.array([numbers[w] for w in words(inp or task or "")], np.int64))
-        if len(n) >= COMMON_WORDS:
-            count[np.unique(_grams(n, 2) % np.uint64(BUCKETS)).astype(np.int64)] += 1
         if r and a.shell != "empty" and not a.cut and len(languages.names):
             # the sample isn't labelled: what its form or language shows to be broken is no base for synthetic pairs
             same = len(n) < 4 or int(np.argmax(languages.scores(n))) == int(np.argmax(src))
             if same:
                 kept.append((task or "", inp or "", r, languages.names[int(np.argmax(src))]))
-    reader = Reader(languages, (count >= max(3.0, len(pairs) * 0.004)).astype(np.float64))
+    count = counts(languages) if counts else count_pairs((r for _, _, r, _ in pairs), languages, numbers)
+    reader = Reader(languages, (count[:, :-1] >= np.maximum(COMMON_LEAST, COMMON_SHARE * count[:, -1:])).astype(np.float64))
     bases: list[int] = []
     made = synthetic_pairs(kept, seed, bases)
     if not made:
@@ -342,7 +376,8 @@ def broken_pairs(pairs: DataFrame, sample_pairs: int = SAMPLE_PAIRS) -> DataFram
     u = F.pmod(F.xxhash64("field_name", "record_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     rows = p.where(u < min(1.0, sample_pairs / n)).dropDuplicates(["field_name", "record_id"]).select("task", "input", "response", "lang", "record_id", "field_name").collect()
     rows = sorted({(r.field_name, r.record_id, r.task, r.input, r.response, r.lang) for r in rows}, key=lambda r: (r[0], r[1]))
-    held = spark.sparkContext.broadcast(train([r[2:] for r in rows]))
+    answers = p.select("field_name", "record_id", "response").where(F.col("response").isNotNull()).dropDuplicates(["field_name", "record_id"])
+    held = spark.sparkContext.broadcast(train([r[2:] for r in rows], counts=lambda languages: count_all(answers, languages)))
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = held.value
