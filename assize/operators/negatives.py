@@ -91,12 +91,12 @@ def swap_words(target: Column, key: Column, seed: int) -> Column:
     return bind(F.split(target, r"\s+"), swap)
 
 
-def swap_share(target: Column, key: Column, seed: int, share: float = 0.3, most: int = 8) -> Column:
-    """Swaps for ``share`` of the words, one at least and ``most`` at most, that don't undo each other: a rotation of hashed places."""
+def swap_share(target: Column, key: Column, seed: int, share: float = 0.3) -> Column:
+    """Swaps for ``share`` of the words, one at least, that don't undo each other: a rotation of hashed places."""
 
     def rotate(w: Column) -> Column:
         n = F.size(w)
-        k = F.greatest(F.lit(1), F.least(F.floor(n * share), F.lit(most)).cast("int")) + 1
+        k = F.greatest(F.lit(1), F.floor(n * share).cast("int")) + 1
         tagged = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}-"), i.cast("string"))).alias("h"), i.alias("i")))
         ranked = F.transform(F.array_sort(tagged), lambda s: s["i"])
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from assize.operators import sampling
+from assize.operators import negatives, sampling
 from assize.plans import queries as core
 
 
@@ -33,3 +33,11 @@ def test_diverse_sample_gives_all_it_is_asked_for(spark):
     df = spark.createDataFrame(rows, "id bigint, embedding array<float>, cluster int").withColumn("distance", F.rand(3))
     got = sampling.diverse_sample(df, spark.createDataFrame([(0, 600)], "cluster int, take int"), candidates=200)
     assert got.count() == 600 == got.select("id").distinct().count()
+
+
+def test_swap_share_of_long_texts(spark):
+    df = spark.createDataFrame([(n, " ".join(f"w{k}" for k in range(n))) for n in (2, 29, 30, 60, 200)], "id int, target string")
+    for r in df.select("id", "target", negatives.swap_share(F.col("target"), F.col("id"), 2).alias("x")).collect():
+        a, b = r.target.split(), r.x.split()
+        # k swaps that don't undo each other move k + 1 words
+        assert sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == max(1, int(0.3 * r.id)) + 1
