@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assize.functions.vectors import cosine
 
+#: Queries that are held beside each item at once.
+MOST_QUERIES = 4096
 SCHEMA = "description string, scoring map<string,string>"
 #: The keys of each mode's scoring.
 KEYS = {"pointwise": ["1", "2", "3", "4", "5"], "pairwise": ["response_1", "response_2"], "binary": ["true", "false"]}
@@ -57,16 +61,22 @@ def expand_template(tasks: DataFrame, templates: DataFrame, task: str = "task")
 def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int = 5, id: str = "id", vector: str = "embedding") -> DataFrame:
     """For each of the stated queries, the k most similar items by cosine: (query_id, item_id, similarity, rank).
 
-    The queries, a checked number, are held in one array beside each item, and each task keeps its best k for each; ties go
-    to the lower id. k = 0 gives no rows.
+    The queries are held in one array beside each item, and each task keeps its best k for each; more than ``MOST_QUERIES``
+    are searched in hashed blocks, of about half as many each. Ties go to the lower id. k = 0 gives no rows.
     """
     spark = items.sparkSession
     schema = "query_id bigint, item_id bigint, similarity double, rank int"
     n = queries.count()
     if k == 0 or n == 0:
         return spark.createDataFrame([], schema)
-    if n > 4096:
-        raise ValueError(f"{n} queries: state at most 4096 at once")
+    if n > MOST_QUERIES:
+        blocks = -(-2 * n // MOST_QUERIES)
+        own = F.pmod(F.xxhash64(F.col(id), F.lit(17)), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_search(queries.where(own == i), items, k, id, vector) for i in range(blocks)])
+    return _search(queries, items, k, id, vector)
+
+
+def _search(queries: DataFrame, items: DataFrame, k: int, id: str, vector: str) -> DataFrame:
     from pyspark.sql import Window
 
     q = queries.agg(F.collect_list(F.struct(F.col(id).cast("bigint").alias("q"), F.col(vector).alias("v"))).alias("qs"))

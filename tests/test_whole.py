@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from assize.operators import negatives, sampling
+from assize.operators import negatives, rubrics, sampling
 from assize.plans import queries as core
 
 
@@ -41,3 +41,17 @@ def test_swap_share_of_long_texts(spark):
         a, b = r.target.split(), r.x.split()
         # k swaps that don't undo each other move k + 1 words
         assert sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == max(1, int(0.3 * r.id)) + 1
+
+
+def test_retrieval_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(40)], "id bigint, embedding array<float>")
+    want = sorted(map(tuple, rubrics.retrieve_top_k(items, items, 3).collect()))
+    monkeypatch.setattr(rubrics, "MOST_QUERIES", 16)
+    got = sorted(map(tuple, rubrics.retrieve_top_k(items, items, 3).collect()))
+    assert got == want and len(got) == 120
+
+
+def test_retrieval_of_more_queries_than_are_held_at_once(spark):
+    items = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(2)], "id bigint, embedding array<float>")
+    queries = spark.range(4_100).select("id", F.array(F.cos("id"), F.sin("id")).cast("array<float>").alias("embedding"))
+    assert rubrics.retrieve_top_k(queries, items, 1).count() == 4_100
