@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from assize.llm import charmaps as M
 
-P3_FOUND = r"""
-WITH t AS (SELECT DISTINCT ON (id) id, coalesce(input, prompt) AS text FROM prompts ORDER BY id),
+_P3 = r"""t AS (SELECT DISTINCT ON (id) id, coalesce(input, prompt) AS text FROM prompts ORDER BY id),
 w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM t),
 g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS r(i)),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
-c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c
-"""
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+f AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c)"""
+P3_FOUND = f"WITH {_P3} SELECT id_a, id_b FROM f"
+P3_GROUPS = (
+    f"WITH RECURSIVE {_P3}, s AS (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS s FROM g GROUP BY 1), e AS (SELECT id_a AS u, id_b AS v FROM f UNION ALL SELECT id_b, id_a FROM f), "
+    "l AS (SELECT s1.s, count(DISTINCT s2.s) AS n_links FROM e JOIN s s1 ON s1.id = u JOIN s s2 ON s2.id = v WHERE s1.s <> s2.s GROUP BY 1), "
+    "reach AS (SELECT id, id AS other FROM s UNION SELECT reach.id, e.v FROM reach JOIN e ON e.u = reach.other) "
+    "SELECT reach.id, min(other) AS group_id, coalesce(any_value(l.n_links), 0) AS n_links FROM reach JOIN s ON s.id = reach.id LEFT JOIN l ON l.s = s.s GROUP BY 1"
+)
 
 _WIDE = M.wide()
 _FROM = "".join(map(chr, _WIDE)) + "".join(M.CYRILLIC_LOOKALIKES) + "".join(M.GREEK_LOOKALIKES)
@@ -49,4 +54,4 @@ P8_FOUND = (
     + f" UNION ALL SELECT DISTINCT doc_id, 'lookalike' FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(nfc_normalize(regexp_replace(text, '[{M.ZERO_WIDTH}]', '', 'g')), '[{M.COMBINING}]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents) WHERE {_ALIKE}"
 )
 
-ORACLES = {"p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_leak_report": P7_LEAK_REPORT, "p8_found": P8_FOUND}
+ORACLES = {"p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p7_found": P7_FOUND, "p7_leak_report": P7_LEAK_REPORT, "p8_found": P8_FOUND}

@@ -5,7 +5,8 @@ import pytest
 
 pytest.importorskip("assize.llm")
 from assize.llm.answers import words  # noqa: E402
-from assize.llm.neardup import expand_pairs, group_of, near_duplicates  # noqa: E402
+from assize.llm import neardup  # noqa: E402
+from assize.llm.neardup import chain_report, expand_pairs, group_of, near_duplicates, record_sets, ring_walk  # noqa: E402
 
 
 def edited(rng, ws, n):
@@ -81,3 +82,43 @@ def test_groups_are_connected_components(spark):
     for a, b in brute(texts, 0.5):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {i: root(i) for i in got}
+
+
+def test_hot_runs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_POSTINGS", 5)
+    rng = random.Random(4)
+    texts = list(enumerate([" ".join(["always", "the", "same", "three", "words", *(rng.choice("abc") for _ in range(rng.randrange(3)))]) for _ in range(60)] + corpus(6, 60)))
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    got = expand_pairs(*near_duplicates(df))
+    rows = [(r.id_a, r.id_b) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(texts, 0.5)
+
+
+def test_counts_of_very_many_small_tasks(spark):
+    df = spark.createDataFrame(list(enumerate(corpus(2, 400))), "id bigint, text string")
+    sets = record_sets(df, "id", "text").select("runs")
+    one, many = neardup._sketch(sets.coalesce(1)), neardup._sketch(sets.repartition(300))
+    assert (one[0] == many[0]).all() and (one[1] == many[1]).all()
+
+
+def test_ring_walk_gives_the_exact_distance_or_ends(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = [], []
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**64, rng.integers(1, 60), dtype=np.uint64))
+        keep = x[rng.random(len(x)) < rng.choice([0.5, 0.8, 1.0])]
+        a.append(x.view(np.int64))
+        b.append(np.unique(np.concatenate([keep, rng.integers(0, 2**64, rng.integers(0, 20), dtype=np.uint64)])).view(np.int64))
+    differs, steps = ring_walk(a, b, np.full(len(a), (1 << neardup.SEGMENTS) - 1), 0.5)
+    for x, y, d, s in zip(a, b, differs, steps):
+        true = len(set(x) ^ set(y))
+        assert d == (true if 3 * true <= len(x) + len(y) else -1) and 0 < s <= 2 * neardup.SEGMENTS
+
+
+def test_chains_end_pairs_before_the_ring_is_closed(spark):
+    df = spark.createDataFrame(list(enumerate(corpus(11, 300))), "id bigint, text string")
+    n = chain_report(record_sets(df, "id", "text").select("set_id", "runs"))
+    assert n["ended by a chain of 1 maps"] > 0 and n["ended by a chain of 2 maps"] > 0
+    assert n["different pairs left"] == n["kept"] + n["ended by an exact chain before the ring was closed"] + n["ended later"]
