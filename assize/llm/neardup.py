@@ -28,7 +28,7 @@ from assize.llm.answers import words
 from assize.plans.lineage import settle
 
 #: Segments of the ring (a power of two: the upper bits of a run tell its segment), and how many of them a posting carries maps of.
-SEGMENTS, CHAIN = 8, 3
+SEGMENTS, CHAIN = 8, 2
 #: Cells of the count sketch that orders runs by rarity, 1 MB on the driver. It tells runs apart whose counts differ by more
 #: than about (runs of all sets) / CELLS; any order finds the same pairs.
 CELLS = 1 << 20
@@ -151,10 +151,11 @@ _CHAIN_FIELDS = [(f"n{j}", "smallint") for j in range(CHAIN)] + [(f"c{j}", "bigi
 
 
 def _postings(sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, part, diagonal, seg, at, set_id, size, n0.., c0..): the rarest runs of each segment (seg: its bit), with their place in its order.
+    """(key, part, seg, at, set_id, size, n0.., c0..): the rarest runs of each segment (seg: its bit), with their place in its order.
 
     n and c are the sizes and parity maps of the segment and those after it. ``key`` is the run; a hot run's postings are
-    in parts, and each goes to the key of every pair of parts that its own is in.
+    in parts, and each goes to the key of every pair of parts that its own is in (``part`` is above MOST_BLOCKS if the other is
+    another part).
     """
     rank, more = _sketch(sets)
     held = sets.sparkSession.sparkContext.broadcast((rank, more, _blocks(rank)))
@@ -193,13 +194,13 @@ def _postings(sets: DataFrame, threshold: float) -> DataFrame:
             other = np.arange(len(order)) - np.repeat(np.cumsum(times) - times, times)
             key = r[order] ^ (np.where(np.repeat(times, times) > 1, np.minimum(own, other) * MOST_BLOCKS + np.maximum(own, other) + 1, 0).astype(np.uint64) * _M3)
             d, seg = doc[order], part[order] % SEGMENTS
-            out = {"key": key.view(np.int64), "part": own.astype(np.int16), "diagonal": own == other, "seg": (1 << seg).astype(np.int16), "at": at.astype(np.int32), "set_id": sid[d], "size": a[d].astype(np.int32)}
+            out = {"key": key.view(np.int64), "part": (own + (own != other) * MOST_BLOCKS).astype(np.int16), "seg": (1 << seg).astype(np.int16), "at": at.astype(np.int32), "set_id": sid[d], "size": a[d].astype(np.int32)}
             for j in range(CHAIN):
                 p = d * SEGMENTS + (seg + j) % SEGMENTS
                 out[f"n{j}"], out[f"c{j}"] = np.minimum(size[p], 32767).astype(np.int16), maps[p].view(np.int64)
-            yield pd.DataFrame(out)[["key", "part", "diagonal", "seg", "at", "set_id", "size", *(f for f, _ in _CHAIN_FIELDS)]]
+            yield pd.DataFrame(out)[["key", "part", "seg", "at", "set_id", "size", *(f for f, _ in _CHAIN_FIELDS)]]
 
-    return sets.select("set_id", "runs").mapInPandas(post, "key bigint, part smallint, diagonal boolean, seg smallint, at int, set_id bigint, size int, " + ", ".join(f"{f} {t}" for f, t in _CHAIN_FIELDS))
+    return sets.select("set_id", "runs").mapInPandas(post, "key bigint, part smallint, seg smallint, at int, set_id bigint, size int, " + ", ".join(f"{f} {t}" for f, t in _CHAIN_FIELDS))
 
 
 def _meeting(sets: DataFrame, threshold: float) -> tuple[DataFrame, list]:
@@ -210,7 +211,8 @@ def _meeting(sets: DataFrame, threshold: float) -> tuple[DataFrame, list]:
     a, b = F.col("x.size"), F.col("y.size")
     share = F.lit((1 - threshold) / (1 + threshold))
     first = (a < b) | ((a == b) & (F.col("x.set_id") < F.col("y.set_id")))
-    once = (F.col("x.part") != F.col("y.part")) | F.col("x.diagonal")
+    # tests name the same columns of both sides, so that one exchange serves both
+    once = ((F.col("x.part") != F.col("y.part")) | (F.col("x.part") < MOST_BLOCKS)) & (F.col("x.seg").bitwiseAND(F.col("y.seg")) != 0)
     # the smallest size that is stored stands for all larger ones: these are left to the exact differences
     n = [F.when((F.col(f"x.n{j}") < 32767) & (F.col(f"y.n{j}") < 32767), F.col(f"x.n{j}").cast("int") + F.col(f"y.n{j}").cast("int")).otherwise(F.lit(1 << 30)) for j in range(CHAIN)]
     need = F.lit(threshold / (1 + threshold)) * n[0] - F.lit(1e-9)
