@@ -1,16 +1,18 @@
 """Passages of held-out items inside a corpus: Wu-Manber search for all runs of ``window`` words of all items at once.
 
 The corpus is only scanned, never shuffled: each document's words are compared with the block shift table and the buckets
-of the patterns' last blocks. The item set is the stated query set; where its text is larger than ``block_chars``, it
-is searched for in blocks of about that size, each in one scan.
+of the patterns' last blocks. The tables are a few sorted arrays, about 5 bytes for a character of the items; they are built
+once and read by each worker. The item set is the stated query set; where its text is larger than ``block_chars``, it is
+searched for in blocks of about that size, each in one scan.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,53 +33,101 @@ def normal_words(text: str) -> list[str]:
     return _WORD.findall((_TAG.sub(" ", t) if "<" in t else t).lower())
 
 
+class _Numbers(dict):
+    """Word -> its place in the sorted hashes of the items' words, -1 if it is none of them; frequent words are kept."""
+
+    def __init__(self, known: np.ndarray):
+        super().__init__()
+        self.known = known
+
+    @staticmethod
+    def hash(w: str) -> int:
+        return int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
+    def __missing__(self, w: str) -> int:
+        h = np.uint64(self.hash(w))
+        i = int(np.searchsorted(self.known, h))
+        i = i if i < len(self.known) and self.known[i] == h else -1
+        if len(self) < 1 << 19:
+            self[w] = i
+        return i
+
+
 class WuManber:
-    """All runs of ``window`` words of the items, as patterns of one length over numbered words; a block is two words."""
+    """All runs of ``window`` words of the items, as patterns of one length over numbered words; a block is two words.
+
+    ``words`` has the numbered words of all items after one another; a pattern is a place in it. ``blocks`` and ``shift`` are
+    the shift table; patterns are sorted by their last block and, within such a bucket, by a hash of the whole.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         if window < 2:
             raise ValueError("a block needs two words")
         self.window = window
-        self.number: dict[str, int] = {}
-        self.shift: dict[tuple[int, int], int] = {}
-        self.bucket: dict[tuple[int, int], dict[tuple[int, ...], set[int]]] = defaultdict(dict)
-        last = window - 1
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in normal_words(text or "")]
-            for i in range(len(ids) - window + 1):
-                p = tuple(ids[i : i + window])
-                owners = self.bucket[p[-2:]].setdefault(p, set())
-                if owners:  # the same run is in another item: its blocks are in the table already
-                    owners.add(item)
-                    continue
-                owners.add(item)
-                for j in range(1, window):
-                    b = (p[j - 1], p[j])
-                    if self.shift.get(b, window) > last - j:
-                        self.shift[b] = last - j
-        self.bucket = dict(self.bucket)
+        hashes: dict[str, int] = {}
+        texts = [(i, np.array([h if (h := hashes.get(w)) is not None else hashes.setdefault(w, _Numbers.hash(w)) for w in normal_words(t or "")], np.uint64)) for i, t in items]
+        size = np.array([len(t) for _, t in texts], np.int64)
+        flat = np.concatenate([t for _, t in texts]) if size.sum() else np.empty(0, np.uint64)
+        self.known, words = np.unique(flat, return_inverse=True)
+        self.words = words.astype(np.int32)
+        self.item = np.repeat(np.array([i for i, _ in texts], np.int64), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
+        starts = np.nonzero(left >= window)[0].astype(np.int64)
+        self.base = np.int64(len(self.known) + 1)
+        blocks = self.words[:-1].astype(np.int64) * self.base + self.words[1:]
+        # how far each block's end stands before the end of a pattern that holds it, the least of all; blocks of no pattern let all but one word pass
+        shift = np.full(len(blocks), window - 1, np.int64)
+        if len(starts):
+            for j in range(window - 1):
+                np.minimum.at(shift, starts + j, window - 2 - j)
+        order = np.argsort(blocks, kind="stable")
+        self.blocks, first = np.unique(blocks[order], return_index=True)
+        self.shift = (np.minimum.reduceat(shift[order], first) if len(first) else np.empty(0)).astype(np.int16)
+        h = np.zeros(len(starts), np.uint64)
+        for j in range(window):
+            h = (h ^ flat[starts + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        last = blocks[starts + window - 2] if len(starts) else np.empty(0, np.int64)
+        order = np.lexsort((h, last))
+        self.starts, self.hashed = starts[order].astype(np.int32), h[order]
+        self.bucket = last[order]
+        self.numbers: _Numbers | None = None
 
     def search(self, text: str) -> set[int]:
-        get = self.number.get
-        ids = [get(w, 0) for w in normal_words(text)]
-        found: set[int] = set()
-        m, n, shift = self.window, len(ids), self.shift
+        if self.numbers is None:
+            self.numbers = _Numbers(self.known)
+        ids = np.array([self.numbers[w] for w in normal_words(text)], np.int64)
+        m, n, found = self.window, len(ids), set()
+        if n < m or not len(self.starts):
+            return found
+        blocks = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * self.base + ids[1:], -1)
+        at = np.minimum(np.searchsorted(self.blocks, blocks), len(self.blocks) - 1)
+        step = np.where(self.blocks[at] == blocks, self.shift[at], m - 1)
+        step = np.where(ids[1:] < 0, m, step).tolist()  # a word of no item: no run holds it
         pos = m - 1
         while pos < n:
-            if not ids[pos]:  # a word of no item: no run holds it
-                pos += m
+            if step[pos - 1]:
+                pos += step[pos - 1]
                 continue
-            block = (ids[pos - 1], ids[pos])
-            step = shift.get(block, m - 1)
-            if step:
-                pos += step
-                continue
-            owners = self.bucket[block].get(tuple(ids[pos - m + 1 : pos + 1]))
-            if owners:
-                found |= owners
+            found |= self._owners(ids[pos - m + 1 : pos + 1])
             pos += 1
         return found
 
+    def _owners(self, window: np.ndarray) -> set[int]:
+        """Items with a pattern in the bucket of the window's last block that is the window, word by word."""
+        if window.min() < 0:
+            return set()
+        block = window[-2] * self.base + window[-1]
+        a, b = np.searchsorted(self.bucket, block), np.searchsorted(self.bucket, block, side="right")
+        h = np.zeros(1, np.uint64)
+        for w in self.known[window]:
+            h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        a, b = a + np.searchsorted(self.hashed[a:b], h[0]), a + np.searchsorted(self.hashed[a:b], h[0], side="right")
+        at = self.starts[a:b].astype(np.int64)
+        same = (self.words[at[:, None] + np.arange(self.window)] == window).all(1)
+        return set(self.item[at[same]].tolist())
+
 
 def leaked_passages(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Distinct pairs (doc_id, item_id) where ``window`` consecutive words of the item stand in the document.
@@ -93,10 +143,10 @@ def leaked_passages(documents: DataFrame, items: DataFrame, window: int = WINDOW
     out = None
     for k in range(blocks):
         part = query.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else query
-        held = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
+        held = documents.sparkSession.sparkContext.broadcast(WuManber([(r.item_id, r.text) for r in part.collect()], window))
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            engine = WuManber(held.value, window)
+            engine = held.value
             for b in batches:
                 hits = [(d, i) for d, t in zip(b["doc_id"], b["text"]) for i in engine.search(t)]
                 if hits:

@@ -27,6 +27,17 @@ def test_search_against_brute_force(seed, m):
     assert WuManber(items, m).search(doc) == brute(doc, items, m)
 
 
+def test_search_tables_stay_small():
+    import pickle
+
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(20_000)}" for _ in range(100_000))
+    engine = WuManber([(1, text), (2, text[:5_000])])
+    assert len(pickle.dumps(engine)) < 8 * len(text)
+    assert engine.search(" ".join(text.split()[70_000:70_012])) == {1}
+    assert engine.search(" ".join(text.split()[100:113])) == {1, 2}
+
+
 def test_leaks_through_case_markup_and_deviations(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu."
     docs = [
