@@ -15,17 +15,24 @@ from assize.llm.neardup import expand_pairs, group_of, near_duplicates
 from assize.llm.packing import fill_report, pack, token_sizes
 from assize.llm.pairs import broken_pairs
 from assize.llm.sql import ORACLES as SQL
-from assize.llm.subset import varied_subsets
+from assize.llm.subset import coverage_report, varied_subsets
 from assize.llm.tokens import estimate_tokens, token_budget, token_models
 from assize.llm.truncation import truncated_values, truncation_rates
 from assize.plans.lineage import settle
 from assize.sources.tables import canonical, table
 
 
+def _prompt_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "prompts").select("id", canonical(F.col("source")).alias("source"), F.col("prompt").alias("text"))
+
+
 def p1_subset(spark: SparkSession, d: str) -> DataFrame:
     limits = table(spark, d, "run_limits").where("limit_name like 'subset_rows_%'").dropDuplicates(["limit_name"]).collect()  # a stated table
-    r = table(spark, d, "prompts").select("id", canonical(F.col("source")).alias("source"), F.col("prompt").alias("text"))
-    return varied_subsets(r, sorted((x.limit_name, x.amount) for x in limits))
+    return varied_subsets(_prompt_texts(spark, d), sorted((x.limit_name, x.amount) for x in limits))
+
+
+def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return coverage_report(_prompt_texts(spark, d), p1_subset(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +114,7 @@ def p8_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_subset": p1_subset,
+    "p1_coverage": p1_coverage,
     "p2_found": p2_found,
     "p2_truncation_rates": p2_truncation_rates,
     "p3_found": p3_found,

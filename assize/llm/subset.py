@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from assize.llm.answers import words
 from assize.plans.lineage import settle
 
-CLUSTERS, EPOCHS, BATCH = 64, 2, 1024
+#: Clusters, and mini-batches: the first two are 1 / 2^(BATCHES - 1) of the rows each, every further one is twice as large.
+CLUSTERS, BATCHES = 64, 6
 HASHED, WIDTH = 1 << 13, 64
 #: Rows, in expectation, on which the first centres are chosen; all passes after that are over all rows.
 INIT_ROWS = 4_000
-#: Sources with quotas of their own; rarer ones share this many further groups.
-MOST_SOURCES = 500
+#: Vectors are summed as whole numbers in this unit, so that sums don't depend on their order.
+UNIT = 1 << 20
 #: Share of the mean squared distance of centres below which two clusters are one group of similar records.
 CLOSE = 0.15
 _SALTS = 32
@@ -76,57 +77,55 @@ def _first_centres(x: np.ndarray, k: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def mini_batch_k_means(made: DataFrame, k: int = CLUSTERS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of all vectors, and centres of the vectors less the mean.
-
-    In an epoch each task moves its own copy of the centres batch by batch, by steps that shrink with a centre's count; the
-    copies are then averaged by their counts. What reaches the driver has k rows, whatever the number of rows or tasks.
-    """
-    spark = made.sparkSession
-    n = made.count()
-    if not n:
-        return np.zeros(WIDTH), np.zeros((0, WIDTH))
+def _sums(df: DataFrame, centres: np.ndarray | None, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and sum of the vectors nearest to each centre (or of all): tasks send sums, which are added exactly."""
+    k = 1 if centres is None else len(centres)
 
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, c = np.zeros(WIDTH), 0
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s = np.zeros(k, np.int64), np.zeros((k, WIDTH), np.int64)
         for b in batches:
-            s, c = s + _matrix(b["v"]).sum(0), c + len(b)
-        yield pd.DataFrame({"c": [0], "n": [float(c)], "s": [s]})
-
-    def add(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c": [key[0]], "n": [b["n"].sum()], "s": [np.array(b["s"].tolist()).sum(0)]})
+            if len(b):
+                v = _matrix(b["v"])
+                own = np.zeros(len(v), np.int64) if centres is None else _nearest(v - mean, centres)
+                n += np.bincount(own, minlength=k)
+                np.add.at(s, own, np.rint(v * UNIT).astype(np.int64))
+        hit = np.nonzero(n)[0]
+        yield pd.DataFrame({"c": np.repeat(hit, WIDTH + 1), "at": np.tile(np.arange(WIDTH + 1), len(hit)), "x": np.column_stack([n[hit], s[hit]]).ravel()})
+
+    n, s = np.zeros(k, np.int64), np.zeros((k, WIDTH))
+    for r in df.select("v").mapInPandas(add, "c int, at int, x bigint").groupBy("c", "at").agg(F.sum("x").alias("x")).collect():  # k * (WIDTH + 1) rows
+        if r["at"] == 0:
+            n[r.c] = r.x
+        else:
+            s[r.c, r["at"] - 1] = r.x / UNIT
+    return n, s - n[:, None] * mean
+
+
+def mini_batch_k_means(made: DataFrame, k: int = CLUSTERS, batches: int = BATCHES) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of all vectors, and centres of the vectors less the mean.
 
-    schema = "c int, n double, s array<double>"
-    merged = lambda f: made.select("v").mapInPandas(f, schema).groupBy("c").applyInPandas(add, schema).collect()
-    got = merged(total)[0]
-    mean = np.array(got.s) / got.n
+    Each row is in one of ``batches`` fixed mini-batches by a hash of its id. A batch moves each centre to its own mean by a
+    step that shrinks with the centre's count. Nothing depends on how rows are partitioned; what reaches the driver has k
+    rows, whatever the number of rows or tasks.
+    """
+    zero = np.zeros(WIDTH)
+    n, s = _sums(made, None, zero)
+    if not n[0]:
+        return zero, np.zeros((0, WIDTH))
+    mean = s[0] / n[0]
     u = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    rows = made.where(u < min(1.0, INIT_ROWS / n)).select("id", "v").toPandas().sort_values("id")
+    rows = made.where(u < min(1.0, INIT_ROWS / n[0])).select("id", "v").toPandas().sort_values("id")
     if not len(rows):
         rows = made.select("id", "v").orderBy("id").limit(INIT_ROWS).toPandas()
     centres = _first_centres(_matrix(rows["v"]) - mean, k)
-    for _ in range(epochs):
-        held = spark.sparkContext.broadcast(centres)
-
-        def epoch(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            c = held.value.copy()
-            seen = np.zeros(len(c))
-            for b in batches:
-                x = _matrix(b["v"]) - mean
-                for i in range(0, len(x), BATCH):
-                    part = x[i : i + BATCH]
-                    own = _nearest(part, c)
-                    m = np.bincount(own, minlength=len(c))
-                    s = np.zeros_like(c)
-                    np.add.at(s, own, part)
-                    hit = m > 0
-                    seen[hit] += m[hit]
-                    c[hit] += (s[hit] - m[hit, None] * c[hit]) / seen[hit, None]
-            yield pd.DataFrame({"c": np.arange(len(c)), "n": seen, "s": list(c * seen[:, None])})
-
-        for r in merged(epoch):
-            if r.n > 0:
-                centres[r.c] = np.array(r.s) / r.n
+    seen = np.zeros(len(centres))
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << (batches - 1)))
+    for j in range(batches):
+        low, high = (0 if j == 0 else 1 << (j - 1)), 1 << j
+        m, s = _sums(made.where((part >= low) & (part < high)), centres, mean)
+        hit = m > 0
+        seen[hit] += m[hit]
+        centres[hit] += (s[hit] - m[hit, None] * centres[hit]) / seen[hit, None]
     return mean, centres
 
 
@@ -225,20 +224,19 @@ def varied_subsets(records: DataFrame, limits: list[tuple[str, int]], k: int = C
     schema = "limit_name string, id bigint, source string, cluster int"
     if not len(centres):
         return spark.createDataFrame([], schema)
-    top = [r.source for r in made.groupBy("source").count().orderBy(F.desc("count"), "source").limit(MOST_SOURCES).collect()]
-    number = {s: i for i, s in enumerate(top)}
-    wide = len(top) == MOST_SOURCES
+    number = {r.source: i for i, r in enumerate(made.select("source").distinct().orderBy("source").collect())}  # a row for each source
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             src = [s if isinstance(s, str) else None for s in b["source"]]
-            group = [number.get(s, len(number) + zlib.crc32((s or "").encode()) % MOST_SOURCES if wide else -1) for s in src]
-            yield pd.DataFrame({"id": b["id"], "source": src, "cluster": _nearest(_matrix(b["v"]) - mean, centres).astype(np.int32), "slot": np.array(group, np.int32), "copy": b["copy"]})
+            yield pd.DataFrame({"id": b["id"], "source": src, "cluster": _nearest(_matrix(b["v"]) - mean, centres).astype(np.int32), "slot": np.array([number[s] for s in src], np.int32), "copy": b["copy"]})
 
     rows = made.withColumn("copy", F.xxhash64("v")).mapInPandas(assign, "id bigint, source string, cluster int, slot int, copy bigint")
-    rows = settle(rows, "clusters")
-    cells = np.zeros((len(centres), len(number) + MOST_SOURCES * wide), np.int64)
-    for r in rows.groupBy("cluster", "slot").count().collect():  # at most k * 2 * MOST_SOURCES rows
+    # copies are told in two steps: a text that a third of all rows have is never one task's
+    parts = Window.partitionBy("copy", F.pmod(F.xxhash64("id"), F.lit(_SALTS))).orderBy("id")
+    rows = settle(rows.withColumn("again", F.row_number().over(parts) > 1), "clusters")
+    cells = np.zeros((len(centres), len(number)), np.int64)
+    for r in rows.groupBy("cluster", "slot").count().collect():  # k * sources rows at most
         cells[r.cluster, r.slot] = r["count"]
     order, group = _chain(centres), merge_close(centres)
     plan = []
@@ -247,11 +245,41 @@ def varied_subsets(records: DataFrame, limits: list[tuple[str, int]], k: int = C
         plan += [(name, int(c), int(s), int(take[c, s])) for c, s in zip(*np.nonzero(take))]
     if not plan:
         return spark.createDataFrame([], schema)
-    first = rows.groupBy("copy").agg(F.min("id").alias("first_id"))
-    rows = rows.join(first, "copy").withColumn("u", F.xxhash64("id", F.lit(11))).withColumn("again", F.col("id") != F.col("first_id"))
+    leading = rows.where(~F.col("again")).withColumn("again", F.row_number().over(Window.partitionBy("copy").orderBy("id")) > 1)  # _SALTS rows a copy
+    rows = rows.where("again").unionByName(leading).drop("copy").withColumn("u", F.xxhash64("id", F.lit(11)))
     takes = F.broadcast(spark.createDataFrame(plan, "limit_name string, cluster int, slot int, take int"))
     rows = rows.join(takes, ["cluster", "slot"]).withColumn("salt", F.pmod("u", F.lit(_SALTS)))
     cell = ["limit_name", "cluster", "slot"]
     for keys in ([*cell, "salt"], cell):  # a hot cell is thinned in parts before its last ranking
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("again", "u", "id"))).where("r <= take")
     return rows.select("limit_name", "id", "source", "cluster")
+
+
+def coverage_report(records: DataFrame, subset: DataFrame, k: int = CLUSTERS) -> DataFrame:
+    """Per limit_name of ``subset`` (limit_name, id) what it covers of ``records`` (id, source, text), beside a random draw of its size.
+
+    n, clusters of the table and those hit, sources and those hit, the largest cluster's and the largest source's share of the
+    subset; ``random_`` columns are the values that a random draw has in expectation (in largest shares: the table's own).
+    """
+    made = settle(vectors(records), "vectors")
+    mean, centres = mini_batch_k_means(made, k)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "source": b["source"], "cluster": _nearest(_matrix(b["v"]) - mean, centres).astype(np.int32)})
+
+    rows = settle(made.mapInPandas(assign, "id bigint, source string, cluster int"), "assigned")
+    n = subset.groupBy("limit_name").agg(F.count(F.lit(1)).alias("n"))
+    out = n
+    for what in ("cluster", "source"):
+        all_ = rows.groupBy(what).agg(F.count(F.lit(1)).alias("size")).withColumn("share", F.col("size") / F.sum("size").over(Window.partitionBy()))  # one row for each
+        drawn = n.join(F.broadcast(all_.agg(F.collect_list("share").alias("shares"))))
+        expected = drawn.select(
+            "limit_name", F.size("shares").alias(f"{what}s"), F.array_max("shares").alias(f"random_largest_{what}"),
+            F.aggregate("shares", F.lit(0.0), lambda s, p: s + 1 - F.pow(1 - p, F.col("n"))).alias(f"random_{what}s_hit"),
+        )
+        hit = subset.join(rows.select("id", F.col(what).alias("_what")), "id").groupBy("limit_name", "_what").count()
+        hit = hit.groupBy("limit_name").agg(F.count(F.lit(1)).alias(f"{what}s_hit"), F.max("count").alias("_most"))
+        out = out.join(expected, "limit_name").join(hit, "limit_name").withColumn(f"largest_{what}", F.round(F.col("_most") / F.col("n"), 4)).drop("_most")
+        out = out.withColumns({c: F.round(c, 4) for c in (f"random_largest_{what}", f"random_{what}s_hit")})
+    return out

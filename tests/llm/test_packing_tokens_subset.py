@@ -109,3 +109,19 @@ def test_subset_edges(spark):
     got = S.varied_subsets(df, [("a", 3), ("z", 99)], k=3).toPandas()
     assert got[got.limit_name == "a"].id.nunique() == 3
     assert sorted(got[got.limit_name == "z"].id) == [1, 2, 3, 4, 5]
+
+
+def test_subset_is_the_same_however_rows_are_partitioned(spark):
+    rows = [(i, f"s{i % 3}", f"text {i % 17} about thing {i % 5} and {i % 7}" if i % 3 else "") for i in range(600)]  # a third are empty
+    df = spark.createDataFrame(rows, "id bigint, source string, text string")
+    a, b = (S.varied_subsets(x, [("a", 40)], k=8).toPandas().sort_values("id") for x in (df.coalesce(1), df.repartition(13)))
+    assert a["id"].tolist() == b["id"].tolist() and len(a) == 40
+    assert (a["id"] % 3 == 0).sum() < 40 / 3
+    r = S.coverage_report(df, S.varied_subsets(df, [("a", 40)], k=8), k=8).first()
+    assert r.n == 40 and r.clusters_hit >= r.random_clusters_hit - 0.01 and r.largest_cluster < r.random_largest_cluster
+
+
+def test_more_sources_than_slots(spark):
+    df = spark.createDataFrame([(i, f"s{i % 700}", f"text {i} words {i * 7 % 31}") for i in range(1400)], "id bigint, source string, text string")
+    got = S.varied_subsets(df, [("a", 700)], k=4).toPandas()
+    assert len(got) == 700 and got["source"].nunique() > 500
