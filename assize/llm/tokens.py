@@ -13,14 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assize.plans.lineage import settle
+
 #: Place of the public vocabularies; a parameter, never copied into the repository.
 TOKENIZERS = os.environ.get("ASSIZE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Tokenised records of each language at most, in expectation; a hash of the id picks them from the whole table.
 SAMPLE_PER_LANGUAGE = 500
-#: Languages that get a model of their own; the rest, and null, share one over all.
-LANGUAGES = 100
-LEAST_SAMPLE = 40
+#: Rows of the sample, in expectation, on which the model over all languages is fitted; it is also what a language's own model
+#: starts from: in a fit it weighs as PRIOR records would, in the bias as BIAS_PRIOR holdouts.
+SHARED_SAMPLE, PRIOR, BIAS_PRIOR = 4_000, 2.0, 3.0
 
 FEATURES = ["bytes", "lower", "upper", "digits", "spaces", "breaks", "punctuation", "latin1_signs", "latin1_letters", "latin_more", "greek", "cyrillic", "other_2", "other_3", "other_4", "continuation", "words", "capital_words", "numbers", "punctuation_runs", "fifth_letters", "eighth_letters", "one"]
 
@@ -85,61 +87,71 @@ def text_features(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _solve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Ridge regression with relative errors: long and short texts weigh alike."""
+def _solve(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """Ridge regression with relative errors (long and short texts weigh alike), drawn towards ``prior`` the more the fewer rows there are."""
     w = 1 / np.maximum(y, 1.0)
     xs = x * w[:, None]
     scale = np.sqrt((xs**2).sum(0)) + 1e-12
     a = xs / scale
-    return np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ (y * w)) / scale
+    ridge = 1e-3 if prior is None else max(1e-3, PRIOR / max(1, len(y)))
+    start = np.zeros(x.shape[1]) if prior is None else prior
+    return start + np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ (y * w - xs @ start)) / scale
 
 
-def fit_models(sample: pd.DataFrame, holdout: float = 0.3) -> dict[str | None, dict]:
-    """Per language, and over all under None: coefficients, the holdouts' bias factor and mean absolute relative error.
+def fit_model(g: pd.DataFrame, prior: dict | None = None, holdout: float = 0.3) -> dict:
+    """Coefficients, the holdouts' bias factor and mean absolute relative error of a sample (features, tokens, u).
 
-    ``sample`` has lang, features, tokens and u, a number in [0, 1) that splits the holdouts off.
+    u, a number in [0, 1), splits the holdouts off. ``prior`` is the model over all languages; a sample of any size, even of
+    none to fit on, gives a model between it and its own.
     """
-    out: dict[str | None, dict] = {}
-    groups = [(None, sample)] + [(k, g) for k, g in sample.groupby("lang") if len(g) >= LEAST_SAMPLE]
-    for k, g in groups:
-        x, y, held = np.array(g["features"].tolist(), float).reshape(len(g), -1), g["tokens"].to_numpy(float), g["u"].to_numpy() < holdout
-        if (~held).sum() < 2:
-            out[k] = {"coef": np.eye(1, len(FEATURES))[0] / 4, "bias": 1.0, "mape": None, "n_holdout": 0, "total_error": None}
-            continue
-        coef = _solve(x[~held], y[~held])
-        guess = np.maximum(x[held] @ coef, 0)
-        bias = float(y[held].sum() / guess.sum()) if guess.sum() > 0 else 1.0
-        error = np.abs(guess * bias - y[held]) / np.maximum(y[held], 1)
-        # what the corrected model would miss in total is seen on the odd holdouts with the factor of the even ones
-        even = np.arange(len(guess)) % 2 == 0
-        part = guess[~even].sum() * y[held][even].sum() / max(guess[even].sum(), 1e-9)
-        total = float(part / y[held][~even].sum() - 1) if (~even).any() and y[held][~even].sum() else None
-        out[k] = {"coef": coef, "bias": bias, "mape": float(error.mean()) if len(error) else None, "n_holdout": int(held.sum()), "total_error": total}
-    return out
+    x, y, held = np.array(g["features"].tolist(), float).reshape(len(g), -1), g["tokens"].to_numpy(float), g["u"].to_numpy() < holdout
+    base = np.eye(1, len(FEATURES))[0] / 4 if prior is None else np.array(prior["coef"]) * prior["bias"]
+    coef = _solve(x[~held], y[~held], base if prior is not None else None) if (~held).sum() >= (2 if prior is None else 1) else base
+    guess = np.maximum(x[held] @ coef, 0)
+    draw = BIAS_PRIOR * (y.mean() if len(y) else 0.0) if prior is not None else 0.0
+    bias = float((y[held].sum() + draw) / (guess.sum() + draw)) if guess.sum() + draw > 0 else 1.0
+    error = np.abs(guess * bias - y[held]) / np.maximum(y[held], 1)
+    # what the corrected model would miss in total is seen on the odd holdouts with the factor of the even ones
+    even = np.arange(len(guess)) % 2 == 0
+    part = guess[~even].sum() * y[held][even].sum() / max(guess[even].sum(), 1e-9)
+    total = float(part / y[held][~even].sum() - 1) if (~even).any() and y[held][~even].sum() else None
+    return {"coef": coef.tolist(), "bias": bias, "mape": float(error.mean()) if len(error) else None, "n_holdout": int(held.sum()), "total_error": total}
 
 
 def token_models(records: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> dict[str | None, dict]:
-    """Models for ``records`` (id, lang, text), fitted on about SAMPLE_PER_LANGUAGE tokenised records of each language."""
+    """Models for ``records`` (id, lang, text), fitted on about SAMPLE_PER_LANGUAGE tokenised records of each language.
+
+    Every language of the table has a model of its own, null has that over all. Records are tokenised and models fitted by
+    tasks, a language in each; the driver gets a row for each language.
+    """
     r = records.where(F.length("text") > 0)
-    sizes = r.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    u = (F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    rate = F.lit(0.0)
-    for x in sizes:
-        rate = F.when(F.col("lang").eqNullSafe(F.lit(x.lang)), min(1.0, SAMPLE_PER_LANGUAGE / x.n)).otherwise(rate)
-    picked = r.select("id", "lang", "text", u, (F.pmod(F.xxhash64("id", F.lit(91)), F.lit(1 << 30)) / float(1 << 30)).alias("v")).where(F.col("v") < rate).dropDuplicates(["id"])
+    sizes = r.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n"))
+    part = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    picked = r.where("id is not null").join(sizes, F.col("lang").eqNullSafe(F.col("_lang"))).where(part(91) < F.lit(SAMPLE_PER_LANGUAGE) / F.col("n"))
+    picked = picked.select("id", "lang", "text", part(17).alias("u"), part(53).alias("s")).dropDuplicates(["id"])
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            yield pd.DataFrame({"lang": b["lang"], "u": b["u"], "tokens": count_tokens(texts, folder, vocabulary), "features": list(text_features(texts))})
+            yield pd.DataFrame({"id": b["id"], "lang": b["lang"], "u": b["u"], "s": b["s"], "tokens": count_tokens(texts, folder, vocabulary), "features": list(text_features(texts))})
+
+    sample = settle(picked.mapInPandas(tokenise, "id bigint, lang string, u double, s double, tokens bigint, features array<double>"), "sample")
+    n = sample.count()
+    if not n:
+        return {}
+    shared = sample.where(F.col("s") < SHARED_SAMPLE / n).toPandas().sort_values("id")
+    shared = fit_model(shared if len(shared) else sample.orderBy("id").limit(SHARED_SAMPLE).toPandas())
+
+    def own(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"lang": key[0], **fit_model(g.sort_values("id"), shared)}])
 
-    sample = picked.mapInPandas(tokenise, "lang string, u double, tokens bigint, features array<double>").toPandas()
-    return fit_models(sample) if len(sample) else {}
+    fits = sample.where("lang is not null").groupBy("lang").applyInPandas(own, "lang string, coef array<double>, bias double, mape double, n_holdout int, total_error double")
+    return {None: shared} | {m.lang: {k: m[k] for k in ("coef", "bias", "mape", "n_holdout", "total_error")} for m in sorted(fits.collect(), key=lambda m: m.lang)}
 
 
 def estimate_tokens(records: DataFrame, models: dict[str | None, dict]) -> DataFrame:
     """(id, tokens) of each distinct id of ``records`` (id, lang, text): 0 for null and empty texts, whole texts otherwise."""
-    held = records.sparkSession.sparkContext.broadcast({k: m["coef"] * m["bias"] for k, m in models.items()})
+    held = records.sparkSession.sparkContext.broadcast({k: np.array(m["coef"]) * m["bias"] for k, m in models.items()})
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = held.value
