@@ -1,12 +1,14 @@
 """Text values that stop before their text is complete.
 
 Each value is read once for its form (open fence, object, quotation, list entry, sentence or word). Which full stops
-end nothing ("see no.") no form can tell: for these, and as evidence for every open value, the last sentence is looked
-up among all sentences by hashed fixed-length prefixes; it is cut where a longer copy goes on after it.
+end nothing ("see no.") no form can tell: which words have such stops is counted over all values. For these, and as evidence
+for every open value, the last sentence is looked up among all sentences by hashed fixed-length prefixes; it is cut where a
+longer copy goes on after it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,24 +18,38 @@ from pyspark.sql import functions as F
 from assize.llm.answers import read_answer
 from assize.plans.lineage import settle
 
-#: Letters of the longest abbreviation whose full stop is questioned.
-ABBREVIATION_LETTERS = 6
+#: Share of a word's full stops that stand within a sentence (before a small letter or a digit) from which on its stop is
+#: questioned at the end of a value.
+INSIDE_SHARE = 0.2
+#: Prefixes asked for are held beside all sentences up to so many (16 bytes each), and met by exchange beyond.
+BROADCAST_ROWS = 1_000_000
 #: First and further fixed prefix lengths.
 FIRST, STEP = 8, 16
 #: Characters looked at after a tail.
 AFTER = 6
 
 
+_STOPPED = re.compile(r"([^\W\d_](?:[^\W\d_]|\.)*)\.$")
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [read_answer(x) for x in b["value"]]
-        tails = []
+        tails, lasts = [], []
         for a in got:
             t = a.tail if a.shell != "empty" else ""
             last = t.rsplit(None, 1)[-1] if t else ""
-            short = last.endswith(".") and 1 < len(last) <= ABBREVIATION_LETTERS + 1 and last[:1].islower()
-            tails.append(t if len(t) >= FIRST and (a.cut or short) else None)
-        yield pd.DataFrame({"field_name": b["field_name"], "record_id": b["record_id"], "cut": [a.cut for a in got], "tail": tails})
+            tails.append(t if len(t) >= FIRST else None)
+            lasts.append(m.group(1).lower() if (m := _STOPPED.search(last)) else None)
+        yield pd.DataFrame({"field_name": b["field_name"], "record_id": b["record_id"], "cut": [a.cut for a in got], "tail": tails, "last": lasts})
+
+
+def inside_stops(values: DataFrame) -> DataFrame:
+    """(last): words in lower case whose full stop often stands within a sentence, counted over all of ``values`` (value)."""
+    found = values.select(F.explode(F.regexp_extract_all("value", F.lit(r"\p{L}[\p{L}.]*\.(?:\s+[\p{Ll}\p{N}])?"), 0)).alias("w"))
+    inside = F.col("w").rlike(r"\s")
+    words = found.groupBy(F.lower(F.regexp_replace("w", r"\.(?:\s+.)?$", "")).alias("last")).agg(F.count_if(inside).alias("inside"), F.count(F.lit(1)).alias("n"))
+    return words.where(F.col("inside") >= INSIDE_SHARE * F.col("n")).select("last")
 
 
 def sentences(value: Column) -> Column:
@@ -61,6 +77,9 @@ def longer_copies(tails: DataFrame, values: DataFrame) -> DataFrame:
     asked = t.select("tail", k.alias("k")).select("tail", F.xxhash64(F.substring("tail", F.lit(1), F.col("k")), "k").alias("h"), F.expr("substring(tail, k + 1)").alias("rest"))
     s = values.select(F.explode(F.array_distinct(sentences(F.col("value")))).alias("s"))
     s = s.select("s", F.explode(_ladder(F.length("s"))).alias("k"))
+    keys = asked.select("h").distinct()
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # only prefixes that are asked for go to the exchange
+        s = s.join(F.broadcast(keys), F.xxhash64(F.substring("s", F.lit(1), F.col("k")), "k") == F.col("h"), "left_semi")
     known = s.select(F.xxhash64(F.substring("s", F.lit(1), F.col("k")), "k").alias("h"), F.expr(f"substring(s, k + 1, {STEP + AFTER})").alias("more")).distinct()
     goes_on = F.startswith("more", "rest") & (F.regexp_replace(F.expr("substring(more, length(rest) + 1)"), r"[^\p{L}\p{N}]", "") != "")
     return asked.join(known, "h").where(goes_on).select("tail").distinct()
@@ -74,8 +93,10 @@ def truncated_values(values: DataFrame) -> DataFrame:
     delivered again count once; an empty table gives no rows. Texts of any length are read whole.
     """
     v = values.select("field_name", F.col("record_id").cast("bigint").alias("record_id"), "value").where(F.col("value").isNotNull())
-    read = v.mapInPandas(_read, "field_name string, record_id bigint, cut boolean, tail string").where(F.col("cut") | F.col("tail").isNotNull())
-    read = settle(read, "endings")
+    read = v.mapInPandas(_read, "field_name string, record_id bigint, cut boolean, tail string, last string")
+    stops = inside_stops(v).select(F.col("last").alias("_last"))
+    read = read.join(stops, F.col("last") == F.col("_last"), "left").where(F.col("cut") | (F.col("_last").isNotNull() & F.col("tail").isNotNull()))
+    read = settle(read.select("field_name", "record_id", "cut", "tail"), "endings")
     found = longer_copies(read, v)
     marked = read.join(found.withColumn("longer_copy", F.lit(True)), "tail", "left").withColumn("longer_copy", F.coalesce("longer_copy", F.lit(False)))
     return marked.where(F.col("cut") | F.col("longer_copy")).groupBy("field_name", "record_id").agg(F.max("longer_copy").alias("longer_copy"))

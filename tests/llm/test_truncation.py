@@ -44,3 +44,9 @@ def test_rates(spark):
     v = spark.createDataFrame([("f", 1, "It holds.", "a"), ("f", 2, "It ho", "a"), ("f", 2, "It ho", "a"), ("f", 3, None, "a"), ("f", 4, "So i", None)], "field_name string, record_id bigint, value string, source string")
     got = {(r.source, r.n_values, r.n_cut, r.cut_share) for r in truncation_rates(v, truncated_values(v)).collect()}
     assert got == {("a", 2, 1, 0.5), (None, 1, 1, 1.0)}
+
+
+def test_any_word_may_have_a_stop_that_ends_nothing(spark):
+    whole = [f"Das steht in Abb. {i} der Anlage. Siehe Nr. {i} dazu. Das steht bei Approximativ. {i} Stellen." for i in range(5)]
+    got = found(spark, *whole, "Das steht in Abb.", "Siehe Nr.", "Das steht bei Approximativ.", "Das ist gut.", "Das steht da.")
+    assert got == {5: True, 6: True, 7: True}
