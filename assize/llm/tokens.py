@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SAMPLE_PER_LANGUAGE = 500
 #: Rows of the sample, in expectation, on which the model over all languages is fitted; it is also what a language's own model
 #: starts from: in a fit it weighs as PRIOR records would, in the bias as BIAS_PRIOR holdouts.
-SHARED_SAMPLE, PRIOR, BIAS_PRIOR = 4_000, 2.0, 3.0
+SHARED_SAMPLE, PRIOR, BIAS_PRIOR = 4_000, 0.35, 3.0
 
 FEATURES = ["bytes", "lower", "upper", "digits", "spaces", "breaks", "punctuation", "latin1_signs", "latin1_letters", "latin_more", "greek", "cyrillic", "other_2", "other_3", "other_4", "continuation", "words", "capital_words", "numbers", "punctuation_runs", "fifth_letters", "eighth_letters", "one"]
 
