@@ -26,12 +26,25 @@ _ALIKE = "".join(M.CYRILLIC_LOOKALIKES) + "".join(M.GREEK_LOOKALIKES)
 #: A word with a deviating character, of several scripts, or wholly of look-alikes; else one blank or sign of another width.
 _HARD = f"{M.COMBINING}{M.ZERO_WIDTH}{_WORDLIKE}"
 _RUN = (
-    f"(?<![{_W}])(?:(?=[{_W}]*[{_HARD}])|(?=[{_W}]*[{_LAT}])(?=[{_W}]*[{_CYR}{_GRE}])|(?=[{_W}]*[{_CYR}])(?=[{_W}]*[{_GRE}])"
+    f"(?<![{_W}])(?![A-Za-z0-9]+(?![{_W}]))(?:(?=[{_W}]*[{_HARD}])|(?=[{_W}]*[{_LAT}])(?=[{_W}]*[{_CYR}{_GRE}])|(?=[{_W}]*[{_CYR}])(?=[{_W}]*[{_GRE}])"
     f"|(?=[{_ALIKE}\\p{{N}}]{{2,}}(?![{_W}]))(?=\\p{{N}}*[{_ALIKE}]))[{_W}]+"
     f"|[{M.NBSP}]|[{M.FULLWIDTH}&&[^{_WORDLIKE}]]"
 )
-#: A cheap test that no text without deviations and with only Latin letters passes.
-_MAYBE = f"[{_HARD}{M.NBSP}{M.FULLWIDTH}{_CYR}{_GRE}]"
+_BETWEEN = rf"[\p{{N}}\p{{M}}{M.ZERO_WIDTH}]*"
+#: A cheap test, without looking ahead, that every text with a deviation passes: a deviating character, neighbouring letters of
+#: two scripts, or a word wholly of look-alikes.
+_MAYBE = (
+    f"[{_HARD}{M.NBSP}{M.FULLWIDTH}]|[{_LAT}]{_BETWEEN}[{_CYR}{_GRE}]|[{_CYR}{_GRE}]{_BETWEEN}[{_LAT}]|[{_CYR}]{_BETWEEN}[{_GRE}]|[{_GRE}]{_BETWEEN}[{_CYR}]"
+    f"|(?<![{_W}])\\p{{N}}*[{_ALIKE}][{_ALIKE}\\p{{N}}]+(?![{_W}])|(?<![{_W}])\\p{{N}}+[{_ALIKE}]\\p{{N}}*(?![{_W}])"
+)
+
+
+#: What no text without other than Latin letters, their accents in one character, and usual signs passes; a few ranges, quickly read.
+_UNUSUAL = "[^\\x00-\\x9F\u00A1-\u00AC\u00AE-\u02FF\u2010-\u2027\u2030-\u205E\u20A0-\u20CF\u2100-\u2BFF]"
+
+
+def _suspect(text: Column) -> Column:
+    return text.rlike(_UNUSUAL) & text.rlike(_MAYBE)
 
 
 def character_table(spark: SparkSession) -> DataFrame:
@@ -60,7 +73,7 @@ def character_table(spark: SparkSession) -> DataFrame:
 def _spread(text: Column) -> Column:
     """Scripts that unmistakable words of the text are in."""
     has = [F.when(text.rlike(f"(?<![{_W}])(?=[{_W}]*[{M.only(s)}])[{M.SCRIPT_RANGES[s]}\\p{{N}}\\p{{M}}{M.ZERO_WIDTH}]{{2,}}(?![{_W}])"), F.lit(s)) for s in M.SCRIPT_RANGES]
-    return F.array_compact(F.array(*has))
+    return F.when(text.rlike(f"[{_CYR}{_GRE}]"), F.array_compact(F.array(*has))).otherwise(F.array(F.lit(M.LATIN)))  # without such letters no word turns
 
 
 @F.pandas_udf(StringType())
@@ -101,9 +114,9 @@ def mend_words(words: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _words(documents: DataFrame, id: str, text: str) -> DataFrame:
-    d = documents.select(F.col(id), F.col(text).alias("_text")).where(F.col("_text").rlike(_MAYBE))
-    d = d.withColumn("runs", F.regexp_extract_all("_text", F.lit(_RUN), 0)).where(F.size("runs") > 0)
-    d = d.select(id, _spread(F.col("_text")).alias("spread"), "runs").dropDuplicates([id])
+    d = documents.select(F.col(id), F.col(text).alias("_text")).where(_suspect(F.col("_text")))
+    # no filter on the runs: it would extract them a second time
+    d = d.select(id, _spread(F.col("_text")).alias("spread"), F.regexp_extract_all("_text", F.lit(_RUN), 0).alias("runs")).dropDuplicates([id])
     return d.select(id, "spread", F.posexplode("runs").alias("n", "run"))
 
 
@@ -124,7 +137,7 @@ def normalised(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
     Of repeated ids among the former one row is kept.
     """
     d = documents.select(F.col(id), F.col(text).alias("_text"))
-    hit = F.coalesce(F.col("_text").rlike(_MAYBE), F.lit(False))
+    hit = F.coalesce(_suspect(F.col("_text")), F.lit(False))
     keep = d.where(~hit).select(id, F.col("_text").alias(text), F.lit(False).alias("changed"))
     fixed = mend_words(_words(documents, id, text), [id]).groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "fixed"))), lambda x: x["fixed"]).alias("fixed"))
     rest = d.where(hit).dropDuplicates([id]).join(fixed, id, "left")
