@@ -91,7 +91,8 @@ class Languages:
 def _mix(parts: list[np.ndarray]) -> np.ndarray:
     h = np.zeros(len(parts[0]), np.uint64)
     for p in parts:
-        h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= p.view(np.uint64)
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     return h
 
@@ -106,7 +107,7 @@ class Source:
     def __init__(self, task: str, input: str, languages: Languages, numbers: _Numbers):
         t, i = words(task), words(input)
         ti, ii = np.array([numbers[w] for w in t], np.int64), np.array([numbers[w] for w in i], np.int64)
-        self.runs = np.unique(np.concatenate([_grams(ti, _RUN), _grams(ii, _RUN), _grams(np.concatenate([ti, ii]), _RUN)]))
+        self.runs = np.sort(_grams(np.concatenate([ti, ii]), _RUN))
         self.scores = languages.scores(ii if len(ii) > 3 else np.concatenate([ti, ii]))
 
 
@@ -147,11 +148,14 @@ class Reader:
         # what the answerer says beside quotations and what the prompt says
         rest = own[~covered(own, source.runs)] if len(own) < len(all_) else all_[~taken]
         base = own if len(own) >= 4 else all_
-        rest = rest if len(rest) >= 4 else base
-        pairs, rest_pairs = _grams(base, 2), _grams(rest, 2)
+        rest = rest if 4 <= len(rest) < len(base) else base
+        pairs = _grams(base, 2)
+        rest_pairs = pairs if rest is base else _grams(rest, 2)
         mine = self.languages.scores(base)
         top, home = int(np.argmax(mine)), int(np.argmax(source.scores))
-        fresh, rest_fresh = (1 - float(self.common[top, (x % BUCKETS).astype(np.int64)].mean()) if len(x) else 0.0 for x in (pairs, rest_pairs))
+        new = lambda x: 1 - np.count_nonzero(self.common[top, (x % np.uint64(BUCKETS)).astype(np.int64)]) / len(x) if len(x) else 0.0
+        fresh = new(pairs)
+        rest_fresh = fresh if rest is base else new(rest_pairs)
         enough = len(base) >= 3
         margin = float(min(3.0, mine[top] - mine[home])) if enough else 0.0
         foreign = float(enough and top != home and margin > 0.15)
