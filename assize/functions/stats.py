@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,37 +14,59 @@ def safe_ratio(a: Column, b: Column, digits: int | None = 4) -> Column:
     return r if digits is None else F.round(r, digits)
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Pearson's r as an aggregate; null for one row or a constant side."""
-    x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
-    n = F.count(x)
-    top = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-    left, right = n * F.sum(x * x) - F.sum(x) * F.sum(x), n * F.sum(y * y) - F.sum(y) * F.sum(y)
+def pearson(x: Column, y: Column, weight: Column | None = None) -> Column:
+    """Pearson's r as an aggregate; null for one row or a constant side. ``weight`` is the number of rows that a row stands for."""
+    c = F.when(x.isNotNull() & y.isNotNull(), F.lit(1.0) if weight is None else weight.cast("double"))
+    x, y = x.cast("double"), y.cast("double")
+    n = F.sum(c)
+    top = n * F.sum(c * x * y) - F.sum(c * x) * F.sum(c * y)
+    left, right = n * F.sum(c * x * x) - F.sum(c * x) * F.sum(c * x), n * F.sum(c * y * y) - F.sum(c * y) * F.sum(c * y)
     return F.when((n > 1) & (left > 0) & (right > 0), top / F.sqrt(left * right))
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
+def concordance(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
+    """Concordant less discordant pairs of rows, given distinct cells (x, y) and their counts, by running counts over sorted values."""
+    order = np.lexsort((y, x))
+    x, c = x[order], c[order]
+    at = np.unique(y[order], return_inverse=True)[1]
+    tree = np.zeros(at.max() + 2)
+
+    def below(i: int) -> float:
+        total = 0.0
+        while i > 0:
+            total += tree[i]
+            i -= i & -i
+        return total
+
+    out = seen = 0.0
+    for part in np.split(np.arange(len(x)), np.nonzero(np.diff(x))[0] + 1):
+        for k in part:
+            under = below(at[k])
+            out += c[k] * (under - (seen - below(at[k] + 1)))
+        for k in part:
+            i, seen = at[k] + 1, seen + c[k]
+            while i < len(tree):
+                tree[i] += c[k]
+                i += i & -i
+    return out
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, groups: list[str], count: str | None = None) -> DataFrame:
     """Kendall's tau-b of x and y per group (groups, tau); null for one row or a constant side. Rows with a null are left out.
 
-    Works on the contingency cells, whose number is that of distinct value pairs, never on pairs of rows.
+    Works on the contingency cells, whose number is that of distinct value pairs, never on pairs of rows or cells. ``count``
+    names the column of rows that a row stands for.
     """
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    a, b = cells.alias("a"), cells.alias("b")
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
-    later = F.col("a.x") < F.col("b.x")
-    pairs = a.join(b, [*same, later] if groups else later)
-    sign = F.signum((F.col("b.y") - F.col("a.y")).cast("double"))
-    pq = pairs.groupBy(*[F.col(f"a.{g}").alias(g) for g in groups]).agg(F.sum(F.col("a.c") * F.col("b.c") * sign).alias("pq"))
-    ties = lambda v: cells.groupBy(*groups, v).agg(F.sum("c").alias("c")).groupBy(*groups).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(f"t{v}"))
-    total = cells.groupBy(*groups).agg(F.sum("c").alias("n"))
-    out = total
-    for part in (ties("x"), ties("y"), pq):
-        if groups:
-            new = [c for c in part.columns if c not in groups]
-            part = part.select(*[F.col(g).alias(f"_{g}") for g in groups], *new)
-            out = out.join(part, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups], "left").drop(*[f"_{g}" for g in groups])
-        else:
-            out = out.join(F.broadcast(part))  # one row each
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    below = (n0 - F.col("tx")) * (n0 - F.col("ty"))
-    return out.select(*groups, F.when((F.col("n") > 1) & (below > 0), F.coalesce("pq", F.lit(0.0)) / F.sqrt(below)).alias("tau"))
+    n = F.lit(1) if count is None else F.col(count)
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.sum(n).cast("double").alias("c"))
+    kinds = dict(df.dtypes)
+
+    def tau(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        a, b, c = (g[k].to_numpy() for k in ("x", "y", "c"))
+        n = c.sum()
+        n0 = n * (n - 1) / 2
+        ties = lambda v: sum(k * (k - 1) / 2 for k in np.bincount(np.unique(v, return_inverse=True)[1], c))
+        under = (n0 - ties(a)) * (n0 - ties(b))
+        return pd.DataFrame([[*key, concordance(a, b, c) / np.sqrt(under) if n > 1 and under > 0 else None]], columns=[*groups, "tau"])
+
+    return cells.groupBy(*groups).applyInPandas(tau, ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["tau double"]))

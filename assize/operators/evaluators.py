@@ -60,13 +60,22 @@ def accuracy(paired: DataFrame, groups: list[str], how: str = "exact", truth: st
 
 def agreement(paired: DataFrame, groups: list[str], truth: str = "score") -> DataFrame:
     """``accuracy`` on ints, with Pearson's r and Kendall's tau-b over the parsed rows, rounded to 4; null where undefined."""
-    good = paired.where(~F.col("parse_failed")).select(*groups, F.col("answer").try_cast("int").alias("a"), F.col(truth).try_cast("int").alias("g")).where("a is not null and g is not null")
-    r = good.groupBy(*groups).agg(F.round(pearson(F.col("a"), F.col("g")), 4).alias("pearson_r"))
-    tau = kendall_tau_b(good, "a", "g", groups).withColumn("kendall_tau", F.round("tau", 4)).drop("tau")
-    base = accuracy(paired, groups, "int", truth)
-    if not groups:
-        return base.join(F.broadcast(r)).join(F.broadcast(tau))  # one row each
-    return base.join(r, groups, "left").join(tau, groups, "left")
+    from assize.plans.lineage import settle
+
+    a, g = F.col("answer").try_cast("int").alias("a"), F.col(truth).try_cast("int").alias("g")
+    cells = paired.select(*groups, "parse_failed", a, g, _right("int", truth).alias("right")).groupBy(*groups, "parse_failed", "a", "g", "right").agg(F.count(F.lit(1)).alias("c"))
+    cells = settle(cells, "cells")  # one row for each pair of values: all three parts read it
+    good = ~F.col("parse_failed") & F.col("a").isNotNull() & F.col("g").isNotNull()
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0).cast("bigint"))
+    base = cells.groupBy(*groups).agg(F.coalesce(F.sum("c"), F.lit(0).cast("bigint")).alias("n"), of(F.col("parse_failed")).alias("failed"), of(F.col("right")).alias("correct"), F.round(pearson(F.when(good, F.col("a")), F.when(good, F.col("g")), F.col("c")), 4).alias("pearson_r"))
+    base = base.withColumn("valid_accuracy", safe_ratio(F.col("correct"), F.col("n") - F.col("failed"))).withColumn("raw_accuracy", safe_ratio(F.col("correct"), F.col("n")))
+    tau = kendall_tau_b(cells.where(good), "a", "g", groups, "c").withColumn("kendall_tau", F.round("tau", 4)).drop("tau")
+    if groups:
+        tau = tau.select(*[F.col(k).alias(f"_{k}") for k in groups], "kendall_tau")
+        out = base.join(tau, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in groups], "left")
+    else:
+        out = base.join(F.broadcast(tau), how="left")  # one row each
+    return out.select(*groups, "n", "failed", "correct", "valid_accuracy", "raw_accuracy", "pearson_r", "kendall_tau")
 
 
 def accuracy_by_subject(paired: DataFrame, subject: str, how: str = "casefold", truth: str = "score") -> DataFrame:

@@ -39,7 +39,8 @@ def with_ordinal(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
     """Adds the row's ordinal from 0 in the order of ``key`` (ties by the other columns), without gaps."""
     # range borders are sampled: the numbering must see one and the same partitioning
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fixed = settle(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()), "ordinal")
+    # ranges by all columns, so that rows of one key may be in several
+    fixed = settle(df.repartitionByRange(parts, key, *[c for c in df.columns if c != key]).withColumn("_part", F.spark_partition_id()), "ordinal")
     within = Window.partitionBy("_part").orderBy(key, *[c for c in df.columns if c != key])
     counts = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range

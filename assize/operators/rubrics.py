@@ -37,15 +37,20 @@ def rubric_mode(scoring: Column) -> Column:
 
 
 def load_rubrics(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """A JSON array of rubrics as (n, description, scoring, mode), keys normalised.
+    """Rubric files as (file, n, description, scoring, mode): each a JSON array, n counting from 0 in each file, keys normalised.
 
-    With ``strict`` a rubric with missing or further keys raises; else its mode is null.
+    ``path`` is a file, a folder or a pattern. With ``strict`` a rubric with missing or further keys raises, as does a file
+    that is no array; else the mode is null, and the file gives no row.
     """
-    raw = spark.read.option("multiLine", True).schema(SCHEMA).json(path)
-    df = raw.withColumn("scoring", normalise_keys(F.col("scoring"))).withColumn("mode", rubric_mode(F.col("scoring")))
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    array = F.from_json("value", f"array<struct<{SCHEMA.replace('description string', 'description:string').replace('scoring map', 'scoring:map')}>>".replace(", ", ","))
+    if strict:
+        array = F.coalesce(array, F.raise_error(F.concat(F.lit("no array of rubrics: "), F.input_file_name())))
+    df = raw.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(array).alias("n", "r"))
+    df = df.select("file", "n", "r.description", normalise_keys(F.col("r.scoring")).alias("scoring")).withColumn("mode", rubric_mode(F.col("scoring")))
     if strict:
         df = df.withColumn("mode", F.coalesce("mode", F.raise_error(F.concat(F.lit("scoring keys fit no mode: "), F.coalesce(F.array_join(F.map_keys("scoring"), ","), F.lit("none"))))))
-    return df.select(F.monotonically_increasing_id().cast("int").alias("n"), "description", "scoring", "mode")
+    return df.select("file", "n", "description", "scoring", "mode")
 
 
 def expand_template(tasks: DataFrame, templates: DataFrame, task: str = "task") -> DataFrame:

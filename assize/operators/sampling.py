@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assize.functions.vectors import l2_normalise, mean_vector, squared_distance
+from assize.functions.vectors import l2_normalise, mean_vector
 
 #: Centres that may be broadcast at once: clusters are chosen, not grown with the data.
 MOST_CENTRES = 10_000
@@ -23,16 +23,32 @@ def centroids(df: DataFrame, label: str, vector: str, width: int) -> DataFrame:
 
 
 def assign_nearest(df: DataFrame, centres: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Adds cluster and distance (L2, squared) of the nearest centre; ties go to the lower cluster.
+    """Adds cluster and distance (L2, squared) of the nearest centre; ties go to the lower cluster, a null vector has nulls.
 
-    The centres are held in one array beside each row, so that nothing is multiplied out and no row is shuffled.
+    The centres are broadcast as a matrix and multiplied with batches of rows; no row is shuffled.
     """
-    n = centres.count()
-    if not 0 < n <= MOST_CENTRES:
-        raise ValueError(f"{n} centres: between 1 and {MOST_CENTRES} can be held")
-    held = centres.agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("_cs"))
-    best = F.array_min(F.transform("_cs", lambda c: F.struct(squared_distance(F.col(vector), c["centre"]).alias("d"), c["cluster"].alias("c"))))
-    return df.join(F.broadcast(held)).withColumn("_b", best).withColumns({"cluster": F.col("_b.c"), "distance": F.col("_b.d")}).drop("_cs", "_b")
+    rows = centres.orderBy("cluster").limit(MOST_CENTRES + 1).collect()
+    if not 0 < len(rows) <= MOST_CENTRES:
+        raise ValueError(f"{len(rows)} centres: between 1 and {MOST_CENTRES} can be held")
+    held = df.sparkSession.sparkContext.broadcast((np.array([r.cluster for r in rows]), np.array([r.centre for r in rows], float)))
+    kept = [c for c in df.columns if c not in ("cluster", "distance")]
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", cluster {dict(centres.dtypes)['cluster']}, distance double"
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, c = held.value
+        for b in batches:
+            own, far = np.zeros(len(b), np.int64), np.full(len(b), np.nan)
+            full = np.nonzero(b[vector].notna().to_numpy())[0]
+            for at in np.array_split(full, max(1, -(-len(full) * len(c) // 4_000_000))):
+                x = np.array(b[vector].iloc[at].tolist(), float).reshape(len(at), c.shape[1])
+                # rounded, so that equal distances tie in spite of the order of sums
+                own[at] = np.argmin(np.round((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 12), axis=1)
+                far[at] = ((x - c[own[at]]) ** 2).sum(1)
+            cluster = pd.Series(names[own].astype(object), index=b.index).where(~np.isnan(far), None)
+            yield b[kept].assign(cluster=cluster, distance=pd.Series(far, index=b.index).astype(object).where(~np.isnan(far), None))
+
+    return df.select(*kept).mapInPandas(assign, schema)
 
 
 def choose_k(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5, 7, 10), vector: str = "embedding", seed: int = 42, max_iter: int = 100):
@@ -143,23 +159,60 @@ def diverse_sample(df: DataFrame, takes: DataFrame, vector: str = "embedding", i
     return near.unionByName(rest).groupBy("cluster").applyInPandas(choose, "cluster int, id bigint, how string")
 
 
-def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of agglomerative clustering with average linkage on cosine distance, merging while the least one is below ``threshold``."""
+def dendrogram(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All merges of average linkage on cosine distance, by nearest-neighbour chains: pairs of row numbers and their heights, rising.
+
+    Average linkage is reducible, so that merging along chains gives the same tree as merging the least distance first.
+    """
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    n = len(unit)
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(len(d)), np.arange(len(d))
-    while len(d) > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] < threshold:
-            break
+    size, alive = np.ones(n), np.ones(n, bool)
+    pairs, heights, chain = [], [], []
+    while len(pairs) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        i = chain[-1]
+        j = int(np.argmin(d[i]))
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        del chain[-2:]
+        pairs.append((i, j))
+        heights.append(d[i, j])
         i, j = min(i, j), max(i, j)
         row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
         d[i], d[:, i], d[i, i] = row, row, np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+        alive[j] = False
+    order = np.argsort(heights, kind="stable")
+    return np.array(pairs, np.int64).reshape(-1, 2)[order], np.array(heights)[order]
+
+
+def cut(pairs: np.ndarray, n: int, merges: int) -> np.ndarray:
+    """Labels of n rows after the first ``merges`` of a dendrogram's merges."""
+    parent = np.arange(n)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in pairs[:merges]:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
+
+
+def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels of agglomerative clustering with average linkage on cosine distance, merging while the least one is below ``threshold``."""
+    pairs, heights = dendrogram(vectors)
+    return cut(pairs, len(vectors), int((heights < threshold).sum()))
 
 
 def agglomerate(df: DataFrame, thresholds: tuple[float, ...], group: str = "block", id: str = "id", vector: str = "embedding", least: int = 3, most: int = 2_000) -> DataFrame:
@@ -175,19 +228,14 @@ def agglomerate(df: DataFrame, thresholds: tuple[float, ...], group: str = "bloc
         b = b.sort_values(id)
         v = np.array(b[vector].tolist(), float)
         best, score, at = None, -1.0, None
+        pairs, heights = dendrogram(v)
         for t in thresholds:
-            labels = average_linkage(v.copy(), t)
+            labels = cut(pairs, len(v), int((heights < t).sum()))
             n = np.bincount(labels)
             if len(n) > 1 and n.min() >= least and (s := exact_silhouette(v, labels)) > score:
                 best, score, at = labels, s, t
         if best is None:
-            low, high, want = 0.0, 2.0, max(2, len(b) // 3)
-            for _ in range(40):
-                mid = (low + high) / 2
-                best = average_linkage(v.copy(), mid)
-                if best.max() + 1 == want:
-                    break
-                low, high = (mid, high) if best.max() + 1 > want else (low, mid)
+            best = cut(pairs, len(v), max(0, len(v) - max(2, len(v) // 3)))
         return pd.DataFrame({"block": b[group].to_numpy(), "id": b[id].to_numpy(), "label": best.astype(np.int32), "threshold": np.nan if at is None else at})
 
     kind = dict(df.dtypes)[group]
@@ -208,20 +256,23 @@ def exact_silhouette(vectors: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0).mean())
 
 
-def stub_vectors(df: DataFrame, text: str, width: int = 64, name: str = "embedding") -> DataFrame:
-    """Adds deterministic unit vectors of hashed words, in place of an embedding model."""
+def stub_model(width: int = 64):
+    """A model of hashed words, in place of an embedding model."""
     import zlib
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` array<float>"
+    def vectors(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), width), np.float32)
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+                out[i, h % width] += 1 if h & 65536 else -1
+        return out
 
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = np.zeros((len(b), width), np.float32)
-            for i, t in enumerate(b[text]):
-                for w in (t or "").lower().split():
-                    h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                    out[i, h % width] += 1 if h & 65536 else -1
-            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-            yield b.assign(**{name: list(out)})
-
-    return df.mapInPandas(embed, kinds)
+    return vectors
+
+
+def stub_vectors(df: DataFrame, text: str, width: int = 64, name: str = "embedding") -> DataFrame:
+    """Adds deterministic unit vectors of hashed words, in place of an embedding model; zero for null texts."""
+    from assize.operators.completion import embed
+
+    return embed(df.withColumn(text, F.coalesce(text, F.lit(""))), text, lambda: stub_model(width), width, name=name)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assize.functions.hashing import pick
+from assize.plans.lineage import settle
 from assize.sources.tables import canonical, table
 
 MODELS = ["gavel-4b", "gavel-8b", "gavel-14b", "gavel-14b-lora", "tribune-mini", "assay-r"]
@@ -35,7 +36,8 @@ def judged(spark: SparkSession, d: str, mode: str | None = None, integer: bool =
     p = parse_predictions(predictions(spark, d), integer=integer).select("resp_id", "id", "model_id", "rubric_id", "answer", "parse_failed")
     if mode:
         p = p.join(table(spark, d, "rubrics").where(F.col("eval_mode") == mode).select("rubric_id"), "rubric_id", "left_semi")
-    return pair_by_key(p, truth(spark, d))
+    # a table of its own: only a join right after its exchanges can be split at run time where one prompt has very many answers
+    return pair_by_key(p, settle(truth(spark, d), "truth"))
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +66,7 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
     """Per prompt each model's answer and whether it is the truth."""
     from assize.functions.scoring import extract_score
 
-    p = predictions(spark, d).join(truth(spark, d), "id").select("id", "model_id", extract_score(F.col("response")).alias("a"), "score")
+    p = predictions(spark, d).join(settle(truth(spark, d), "truth"), "id").select("id", "model_id", extract_score(F.col("response")).alias("a"), "score")
     g = p.groupBy("id").pivot("model_id", MODELS).agg(F.min("a").alias("answer"), F.max(F.coalesce(F.col("a") == F.col("score"), F.lit(False))).alias("judge"))
     return g.select("id", *[F.col(f"`{m}_answer`").alias(f"answer_{m}") for m in MODELS], *[F.col(f"`{m}_judge`").alias(f"judge_{m}") for m in MODELS])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +11,13 @@ from pyspark.sql import functions as F
 
 from assize.functions.hashing import pick
 from assize.functions.scoring import extract_score, int_score
-from assize.functions.text import embedding_text, join_options, label_options, option_text, parse_options, task_and_input
+from assize.functions.text import camel, embedding_text, fewshot_block, instruct, join_options, label_options, option_text, parse_options, task_and_input
 from assize.functions.vectors import l2_normalise
 from assize.operators import completion, curation, evaluators, generation, negatives, pairing, reshape, rubrics, sampling
 from assize.operators import prompts as P
 from assize.plans import fixtures as fx
-from assize.plans.lineage import settle
+from assize.plans.lineage import settle, shared_dir
+from assize.sources import files
 from assize.sources.tables import canonical, table
 from assize.streaming.answers import parse_rates
 
@@ -33,7 +36,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-# parts of the SQL
+# parts of the SQL; fixed values: the grammar of scores, as in functions/scoring.py
 _PAT = r"""(?:\\?"score\\?"|score)\s*:\s*("(?:Response 1|Response 2|true|false|True|False|\d+(?:\.\d+)?)"|(?:Response 1|Response 2|true|false|True|False|\d+(?:\.\d+)?))"""
 
 
@@ -177,7 +180,7 @@ def score_parse_scale(spark: SparkSession, d: str) -> DataFrame:
 def _rubric_rows(spark: SparkSession, d: str, mode: str) -> DataFrame:
     r = table(spark, d, "rubrics").where(F.col("eval_mode") == mode).select("rubric_id", "variants")
     p = fx.prompts(spark, d).select("id", F.coalesce("input", "prompt").alias("input"))
-    return fx.predictions(spark, d).join(r, "rubric_id").join(p, "id")
+    return fx.predictions(spark, d).join(r, "rubric_id").join(settle(p, "asked"), "id")  # as in fixtures.judged
 
 
 def _sql_text(s: str) -> str:
@@ -268,6 +271,36 @@ def section_extract(spark: SparkSession, d: str) -> DataFrame:
     return fx.prompts(spark, d).select("id", F.md5(task_and_input(F.col("prompt"))).alias("section_md5"), F.md5(embedding_text(F.col("prompt"), "Find similar tasks.")).alias("embed_md5"))
 
 
+@_query(
+    "SELECT limit_name AS id, array_to_string(list_transform(string_split(limit_name, '_'), lambda x: upper(x[1]) || lower(x[2:])), '') AS camel, 'Instruction: ' || limit_name || '\nQuery: ' || amount AS instructed, "
+    "'Below are some examples:\nQuestion: ' || limit_name || ' Answer: ' || amount || '\n' AS fewshot, 'user' AS role, limit_name AS content, amount = 2048 AS is_right FROM run_limits"
+)
+def text_formats(spark: SparkSession, d: str) -> DataFrame:
+    name, amount = F.col("limit_name"), F.col("amount").cast("string")
+    chat = F.get(P.as_chat(name), F.lit(0))
+    one = F.array(F.struct(name.alias("input"), amount.alias("target")))
+    return table(spark, d, "run_limits").select(name.alias("id"), camel(name).alias("camel"), instruct(name, amount).alias("instructed"), fewshot_block(one).alias("fewshot"), chat["role"].alias("role"), chat["content"].alias("content"), (F.col("amount") == 2048).alias("is_right"))
+
+
+@_query("SELECT kind, item_id::varchar AS id, md5(text) AS response_md5 FROM eval_items, (SELECT unnest(['.json', '.jsonl', '.csv', 'appended', 'version']) AS kind)")
+def file_round_trips(spark: SparkSession, d: str) -> DataFrame:
+    """Answers written and read again in every form, appended ones twice."""
+    x = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("response"), F.lit(None).cast("string").alias("reasoning_content"))
+    base, out = f"{shared_dir(spark)}/assize-{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex[:12]}", []
+    for kind in (".json", ".jsonl", ".csv"):
+        path = f"{base}/answers{kind}"
+        if kind == ".csv":
+            x.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+        else:
+            files.write_lines(x, path)
+        out.append(files.read_records(spark, path).withColumn("kind", F.lit(kind)))
+    for _ in range(2):
+        files.append_answers(x, f"{base}/appended")
+    out.append(files.read_answers(spark, f"{base}/appended").withColumn("kind", F.lit("appended")))
+    out.append(spark.read.parquet(files.write_version(x, f"{base}/table")).withColumn("kind", F.lit("version")))
+    return functools.reduce(DataFrame.unionByName, out).select("kind", "id", F.md5("response").alias("response_md5"))
+
+
 # options and fan-out
 
 _CHOICES = "[" + ", ".join(f"{c} || ' ' || {_pick('p_partkey', 20 + i, 50)}" for i, c in enumerate(("p_brand", "p_type", "p_name", "p_brand"))) + "]"
@@ -335,13 +368,34 @@ def numeric_perturb(spark: SparkSession, d: str) -> DataFrame:
     return negatives.number_negatives(x)
 
 
-@_query("SELECT p_partkey AS id, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS swapped, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS shared FROM part")
+def _swap_sql(seed: int) -> str:
+    """Two different words of w change places; null where all are the same."""
+    i, others = _pick("k", seed, "len(w)"), f"list_filter(range(0, len(w)), lambda j: w[j + 1] <> w[{_pick('k', seed, 'len(w)')} + 1])"
+    j = f"({others})[{_pick('k', seed + 1, f'len({others})')} + 1]"
+    return f"CASE WHEN len(list_distinct(w)) > 1 THEN list_transform(range(0, len(w)), lambda q: CASE WHEN q = {i} THEN w[{j} + 1] WHEN q = {j} THEN w[{i} + 1] ELSE w[q + 1] END) END"
+
+
+@_query(
+    "WITH t AS (SELECT 'part-' || p_partkey AS k, string_split_regex(p_name, '\\s+') AS w FROM part UNION ALL SELECT 'item-' || item_id, string_split_regex(text, '\\s+') FROM eval_items), "
+    "h AS (SELECT k, w, list_transform(list_sort(list_transform(range(0, len(w)), lambda i: md5(k || '-33-' || i) || '|' || i)), lambda s: split_part(s, '|', 2)::bigint)[1 : least(greatest(1, floor(len(w) * 0.3::double)::bigint) + 1, len(w))] AS places FROM t), "
+    "m AS (SELECT k, w, list_transform(range(0, len(w)), lambda q: CASE WHEN list_position(places, q) > 0 THEN w[places[list_position(places, q) % len(places) + 1] + 1] ELSE w[q + 1] END) AS moved FROM h) "
+    f"SELECT k AS id, array_to_string(coalesce({_swap_sql(31)}, w), ' ') AS swapped, array_to_string(CASE WHEN len(w) < 2 THEN w WHEN moved = w THEN coalesce({_swap_sql(33)}, w) ELSE moved END, ' ') AS shared FROM m"
+)
 def word_swap(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("id"), negatives.swap_words(F.col("p_name"), k, 31).alias("swapped"), negatives.swap_share(F.col("p_name"), k, 33).alias("shared"))
+    """Names of two words, and passages of very many."""
+    t = table(spark, d, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("id"), F.col("p_name").alias("t"))
+    t = t.unionByName(table(spark, d, "eval_items").select(F.concat(F.lit("item-"), "item_id").alias("id"), F.col("text").alias("t")))
+    return t.select("id", negatives.swap_words(F.col("t"), F.col("id"), 31).alias("swapped"), negatives.swap_share(F.col("t"), F.col("id"), 33).alias("shared"))
 
 
-@_query()
+_SIGNS = "[')', '>', ']', '}']"
+
+
+@_query(
+    f"WITH t AS (SELECT p_partkey AS k, list_transform(range(0, {_pick('p_partkey', 41, 5)} + 1), lambda i: ({_SIGNS})[{_pick('p_partkey::varchar || i', 42, 4)} + 1]) AS w FROM part), "
+    f"c AS (SELECT k, w, {_pick('k', 43, 9)} AS roll, list_transform(list_filter(range(0, len(w)), lambda i: i <> {_pick('k', 44, 'len(w)')}), lambda i: w[i + 1]) AS gone, {_swap_sql(47)} AS swapped, {_pick('k', 45, 'len(w) + 1')} AS p, ({_SIGNS})[{_pick('k', 46, 4)} + 1] AS sign FROM t) "
+    "SELECT k AS id, array_to_string(w, ' ') AS target, '( [ { <' AS input, array_to_string(CASE WHEN roll < 3 AND len(w) > 1 THEN gone WHEN roll < 7 AND swapped IS NOT NULL THEN swapped ELSE list_concat(list_concat(w[1 : p], [sign]), w[p + 1 :]) END, ' ') AS random_negative FROM c"
+)
 def bracket_corrupt(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     signs = F.array(*map(F.lit, [")", ">", "]", "}"]))
@@ -500,11 +554,12 @@ def _one_rubric(spark: SparkSession, d: str, mode: str):
 
 
 @_query(
-    "WITH x AS (SELECT p_partkey || '-' || i || '-' || j AS id FROM part, (SELECT unnest([0, 1, 2]) AS i) a, (SELECT unnest([0, 1, 2]) AS j) b) SELECT id, CASE WHEN (row_number() OVER (ORDER BY id) - 1) % 2 = 0 THEN 'Response 1' ELSE 'Response 2' END AS score, 1 AS has_prompt FROM x"
+    f"WITH {_first_rubric('pairwise')}, s AS (SELECT p_partkey || '-' || i || '-' || j AS id, p_name AS input, [p_name, p_brand, p_type][i + 1] AS chosen, [p_type, p_name, p_brand][j + 1] AS rejected FROM part, (SELECT unnest([0, 1, 2]) AS i) a, (SELECT unnest([0, 1, 2]) AS j) b) "
+    + _picked("pairwise", "s", "id", "", "id, CASE WHEN swap THEN 'Response 2' ELSE 'Response 1' END AS score", "input", "chosen", "rejected", "id")
 )
 def reshape_style_pairs(spark: SparkSession, d: str) -> DataFrame:
     x = reshape.pairwise_prompts(fanout_pairs(spark, d), _one_rubric(spark, d, "pairwise"))
-    return x.select("id", "score", F.when(F.length("prompt") > 200, 1).otherwise(0).alias("has_prompt"))
+    return x.select("id", "score", F.md5("prompt").alias("prompt_md5"))
 
 
 @_query(
@@ -598,14 +653,24 @@ def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def rubric_requests(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "rubrics").withColumn("v", F.get("variants", F.lit(0)))
-    known = sampling.stub_vectors(r.select(F.crc32("rubric_id").alias("id"), F.col("v.description").alias("description"), F.to_json("v.scoring").alias("s")), "description").withColumn("scoring", F.from_json("s", "map<string,string>"))
+    r = table(spark, d, "rubrics").select("rubric_id", "aspect", F.posexplode("variants").alias("n", "v"))
+    known = sampling.stub_vectors(r.select(F.crc32(F.concat_ws("-", "rubric_id", F.col("n").cast("string"))).alias("id"), F.col("v.description").alias("description"), F.to_json("v.scoring").alias("s")), "description").withColumn("scoring", F.from_json("s", "map<string,string>"))
     aspects = r.select("aspect").distinct().select(F.crc32("aspect").alias("id"), F.concat(F.lit("Judge the "), "aspect").alias("task"))
     tasks = sampling.stub_vectors(aspects, "task").withColumn("examples", F.array(F.struct(F.lit("a text").alias("input"), F.lit("4").alias("target"))))
     return generation.rubric_prompts(tasks, known)
 
 
-@_query()
+def _stub_sql(prompt: str) -> str:
+    return _STUB.replace("coalesce(prompt, '')", prompt)
+
+
+_ASK = "'\n\n### Task\nQuestion: What is the score of ' || id || '?\nCorrect Answer: x'"
+
+
+@_query(
+    f"WITH {_VOTES}, a AS (SELECT id, {_sql_text(P.WRONG_ANSWER)} || {_ASK} || '\n' || CASE WHEN len(wrong) > 0 THEN 'Wrong Answers:\n' || list_aggregate(list_transform(wrong, lambda x: '- ' || x), 'string_agg', '\n') || '\n\n' ELSE '' END || 'Response:' AS p FROM w), "
+    f"b AS (SELECT id, {_sql_text(P.FIX_ANSWER)} || {_ASK} || '\nNegative Answer: ' || {_stub_sql('p')} || '\nResponse:' AS p FROM a) SELECT id AS \"ID\", {_stub_sql('p')} AS negative_answer FROM b"
+)
 def negative_answers_stub(spark: SparkSession, d: str) -> DataFrame:
     x = negatives.wrong_answers(fx.votes(spark, d), fx.MODELS)
     x = x.select(F.col("id").alias("ID"), F.concat(F.lit("What is the score of "), F.col("id").cast("string"), F.lit("?")).alias("question"), F.lit("x").alias("golden_answer"), "wrong_answers")

@@ -79,9 +79,48 @@ def save_name(dataset: str) -> str:
     return "-".join(dataset.split("-")[2:]) + ".json"
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
-    """A small metric table as JSON, over what was there."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+#: Rows of a metric document, which is one object on the driver.
+MOST_METRICS = 10_000
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file of any file system that Spark knows, over what was there."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_metrics(df: DataFrame, path: str, indent: int = 4) -> None:
+    """A small metric table as one indented JSON document, over what was there: an object for one row, else an array of them."""
+    rows = [json.loads(r) for r in df.limit(MOST_METRICS + 1).toJSON().collect()]
+    if len(rows) > MOST_METRICS:
+        raise ValueError(f"more than {MOST_METRICS} rows are no metric document; use write_lines")
+    write_text(df.sparkSession, path, json.dumps(rows[0] if len(rows) == 1 else rows, indent=indent, ensure_ascii=False) + "\n")
+
+
+def write_lines(df: DataFrame, folder: str) -> None:
+    """A table of any size as JSON lines, a file for each task, over what was there; nulls are written."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+
+
+def write_matrix(df: DataFrame, path: str, vector: str = "embedding", row: str = "row") -> None:
+    """Vectors in the order of ``row`` as a .npy matrix; rows stream through the driver, which holds one partition at a time."""
+    n = df.count()
+    width = len(df.select(vector).first()[0]) if n else 0
+    out = np.lib.format.open_memmap(path, "w+", np.float32, (n, width))
+    for i, r in enumerate(df.select(row, vector).orderBy(row).toLocalIterator()):
+        out[i] = r[1]
+    out.flush()
+
+
+def take_rows(df: DataFrame, indexes: list[int], key: str = "id") -> DataFrame:
+    """Rows at the given places (from 0) in the order of ``key``, once for each mention and in the order of the list (column ``place``)."""
+    from assize.operators.pairing import with_ordinal
+
+    wanted = df.sparkSession.createDataFrame(list(enumerate(indexes)), "place long, _at long")
+    return with_ordinal(df, key, "_at").join(F.broadcast(wanted), "_at").drop("_at")  # a stated list
 
 
 def append_answers(df: DataFrame, path: str) -> None:

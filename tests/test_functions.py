@@ -2,6 +2,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,13 @@ def test_vectors(spark):
     got = df.select(vectors.l2_normalise(F.col("a")).alias("n"), vectors.l2_normalise(F.col("b")).alias("z"), vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.squared_distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert got[0].n == pytest.approx([0.6, 0.8]) and got[0].z == [0.0, 0.0] and got[0].c is None and got[0].d == 25.0 and got[1].c == 0.0
     assert df.agg(vectors.mean_vector(F.col("a"), 2).alias("m")).first().m == [2.0, 2.0]
+
+
+def test_concordance_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        cells = sorted({(int(a), int(b)) for a, b in rng.integers(-3, 6, (rng.integers(1, 25), 2))})
+        x, y = (np.array(v, float) for v in zip(*cells))
+        c = rng.integers(1, 5, len(cells)).astype(float)
+        want = sum(c[i] * c[j] * np.sign(x[j] - x[i]) * np.sign(y[j] - y[i]) for i in range(len(cells)) for j in range(i))
+        assert stats.concordance(x, y, c) == want

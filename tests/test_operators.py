@@ -265,6 +265,82 @@ def test_reshape(spark):
     assert [r.id for r in reshape.task_prompts(t, rubric(), {"target": "true", "random_negative": "false", "missing": "false"}).collect()] == ["1-target"]
 
 
+def test_rubric_folders(spark, tmp_path):
+    two = lambda k: [{"description": f"{k}{i}", "scoring": {"true": "a", "false": "b"}} for i in range(3)]
+    for k in ("x", "y"):
+        (tmp_path / f"{k}_rubric.json").write_text(json.dumps(two(k), indent=2))
+    got = {(r.file, r.n, r.description) for r in rubrics.load_rubrics(spark, str(tmp_path)).repartition(5).collect()}
+    assert got == {(f"{k}_rubric.json", i, f"{k}{i}") for k in "xy" for i in range(3)}
+    (tmp_path / "z_rubric.json").write_text("no json")
+    with pytest.raises(Exception, match="no array of rubrics"):
+        rubrics.load_rubrics(spark, str(tmp_path)).collect()
+    assert rubrics.load_rubrics(spark, str(tmp_path), strict=False).count() == 6
+
+
+def test_calls_at_once_and_in_batches(spark):
+    p = spark.createDataFrame([(str(i), f"p{i}") for i in range(16)], "id string, prompt string").coalesce(1)
+
+    def slow():
+        import time
+
+        return lambda x: (time.sleep(0.4), x)[1]
+
+    import time
+
+    completion.complete(p, slow).collect()
+    t = time.time()
+    assert {(r.id, r.response) for r in completion.complete(p, slow).collect()} == {(str(i), f"p{i}") for i in range(16)}
+    assert time.time() - t < 16 * 0.4 / 2
+
+    def lists():
+        def client(xs):
+            assert isinstance(xs, list) and len(xs) <= 5
+            if "p7" in xs:
+                raise ValueError
+            return [(x.upper(), "because") for x in xs]
+
+        return client
+
+    got = {r.id: (r.response, r.reasoning_content) for r in completion.complete(p, lists, batch=5, other_pause=0).collect()}
+    assert got["0"] == ("P0", "because") and got["7"] == ("Error", "Error") == got["5"] and got["15"] == ("P15", "because")
+
+    def wrong():
+        return lambda x: x.no_such_name
+
+    with pytest.raises(Exception, match="no_such_name"):
+        completion.complete(p, wrong, pause=0, other_pause=0).collect()
+
+
+def test_embedding_boundary(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id int, t string")
+    seen = lambda: lambda xs: [[len(x), 0.0] for x in xs]
+    got = {r.id: r.e for r in completion.embed(df, "t", seen, 2, name="e").collect()}
+    assert got == {1: [1.0, 0.0], 2: None, 3: [0.0, 0.0]}
+    raw = {r.id: r.e for r in completion.embed(df, "t", seen, 2, instruction="Find.", batch=1, normalise=False, name="e").collect()}
+    assert raw[1][0] == len("Instruct: Find.\nQuery: abc") and raw[2] is None
+    with pytest.raises(Exception, match="not 3"):
+        completion.embed(df, "t", seen, 3).collect()
+
+
+def test_dendrogram_against_merging_the_least_distance(spark):
+    def plain(v, t):
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        groups = [[i] for i in range(len(v))]
+        while len(groups) > 1:
+            d, a, b = min(((1 - u[x] @ u[y].T).mean(), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+            if d >= t:
+                break
+            groups[a] += groups.pop(b)
+        return {frozenset(g) for g in groups}
+
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        v = rng.normal(size=(40, 6))
+        for t in (0.3, 0.7, 1.0):
+            labels = sampling.average_linkage(v, t)
+            assert {frozenset(np.nonzero(labels == k)[0].tolist()) for k in set(labels.tolist())} == plain(v, t)
+
+
 def test_completion_policies(spark):
     p = spark.createDataFrame([("1", "ok"), ("2", "bad"), ("3", "slow")], "id string, prompt string")
 

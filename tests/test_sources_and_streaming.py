@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from assize.sources import files
+from assize.sources import files, tables
 from assize.streaming.answers import answer_stream, append_once, parse_rates
 
 
@@ -46,9 +46,14 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4 and files.read_answers(spark, str(tmp_path / "out")).count() == 2
     a, b = files.write_version(df, str(tmp_path / "t")), files.write_version(df.limit(1), str(tmp_path / "t"))
     assert a.endswith("v000001") and b.endswith("v000002") and spark.read.parquet(a).count() == 2
-    files.write_metrics(df, str(tmp_path / "m"))
-    files.write_metrics(df.limit(1), str(tmp_path / "m"))
-    assert spark.read.json(str(tmp_path / "m")).count() == 1
+    m = tmp_path / "m.json"
+    files.write_metrics(df, str(m))
+    assert len(json.loads(m.read_text())) == 2
+    files.write_metrics(df.limit(1), str(m))
+    assert json.loads(m.read_text()) == {"id": 1, "seed": 0, "response": "a"} and m.read_text().count("\n") > 3
+    files.write_lines(df.repartition(3), str(tmp_path / "l"))
+    files.write_lines(df.repartition(3), str(tmp_path / "l"))
+    assert spark.read.json(str(tmp_path / "l")).count() == 2
     assert [r.id for r in files.debug_head(spark.range(50), "id", 3).collect()] == [0, 1, 2]
 
 
@@ -65,3 +70,27 @@ def test_stream_appends_each_answer_once(spark, tiny, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == n  # a second run resumes
     assert parse_rates(out).agg({"n": "sum"}).first()[0] == n
     assert parse_rates(s).isStreaming
+
+
+def test_matrix_sink_and_rows_by_place(spark, tmp_path):
+    df = spark.createDataFrame([(2, [3.0, 4.0]), (0, [1.0, 2.0]), (1, [0.0, 0.5])], "row long, embedding array<float>")
+    files.write_matrix(df, str(tmp_path / "m.npy"))
+    assert np.load(tmp_path / "m.npy").tolist() == [[1.0, 2.0], [0.0, 0.5], [3.0, 4.0]]
+    got = files.take_rows(spark.range(10, 30, 2), [3, 0, 3, 99]).orderBy("place").collect()
+    assert [(r.place, r.id) for r in got] == [(0, 16), (1, 10), (2, 16)]
+
+
+def test_subsets_and_configurations(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id long, task string")
+    df.write.partitionBy("task").parquet(str(tmp_path / "t.parquet"))
+    got = tables.subset(spark, str(tmp_path), "t", task="b")
+    assert {r.id for r in got.collect()} == {2, 3}
+    assert "PartitionFilters: [isnotnull(task" in got._jdf.queryExecution().toString()
+    assert tables.subset(spark, str(tmp_path), "t", task="zzz").count() == 0
+    with pytest.raises(ValueError):
+        tables.subset(spark, str(tmp_path), "t", other="b")
+    df.write.parquet(str(tmp_path / "set/main"))
+    assert tables.configured(spark, str(tmp_path), "set").count() == 3 == tables.configured(spark, str(tmp_path), "set", "main").count()
+    df.write.parquet(str(tmp_path / "set/more"))
+    with pytest.raises(ValueError):
+        tables.configured(spark, str(tmp_path), "set")
