@@ -96,6 +96,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p6_containers(spark, d))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per limit the documents that are packed, those with a piece twice or without all their tokens, and containers above the capacity."""
+    sizes = token_sizes(table(spark, d, "documents"))
+    p = settle(p6_containers(spark, d), "packed")
+    docs = p.groupBy("limit_name", "doc_id").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("pieces")).join(sizes, "doc_id", "left")
+    docs = docs.groupBy("limit_name").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") != F.col("pieces")) | ~F.col("placed").eqNullSafe(F.col("tokens"))).alias("wrong"))
+    full = p.groupBy("limit_name", "container_id", "capacity").agg(F.sum("tokens").alias("held")).groupBy("limit_name").agg(F.count_if((F.col("held") > F.col("capacity")) & (F.col("container_id") > 0)).alias("overfull"))
+    return docs.join(full, "limit_name")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -126,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_defect_counts": p5_defect_counts,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_invariants": p6_invariants,
     "p7_found": p7_found,
     "p7_leak_report": p7_leak_report,
     "p8_found": p8_found,

@@ -54,4 +54,6 @@ P8_FOUND = (
     + f" UNION ALL SELECT DISTINCT doc_id, 'lookalike' FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(nfc_normalize(regexp_replace(text, '[{M.ZERO_WIDTH}]', '', 'g')), '[{M.COMBINING}]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents) WHERE {_ALIKE}"
 )
 
-ORACLES = {"p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p7_found": P7_FOUND, "p7_leak_report": P7_LEAK_REPORT, "p8_found": P8_FOUND}
+P6_INVARIANTS = "SELECT limit_name, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::bigint AS wrong, 0::bigint AS overfull FROM run_limits WHERE limit_name LIKE 'pack_tokens_%'"
+
+ORACLES = {"p6_invariants": P6_INVARIANTS, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p7_found": P7_FOUND, "p7_leak_report": P7_LEAK_REPORT, "p8_found": P8_FOUND}
