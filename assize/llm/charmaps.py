@@ -82,11 +82,12 @@ def wide() -> dict[int, int]:
 
 
 @functools.cache
-def _plain() -> dict[int, int | None]:
+def _plain() -> dict[str, str]:
     """What goes without looking at the word: full-width forms, characters without width, non-breaking spaces."""
-    return {**wide(), **{c: None for c in members(ZERO_WIDTH)}, **{c: 0x20 for c in members(NBSP)}}
+    return {**{chr(a): chr(b) for a, b in wide().items()}, **{chr(c): "" for c in members(ZERO_WIDTH)}, **{chr(c): " " for c in members(NBSP)}}
 
 
+_PLAIN = re.compile(f"[{FULLWIDTH}{ZERO_WIDTH}{NBSP}]")
 _MARKS = f"{COMBINING}"
 _LATIN = re.compile(f"[{SCRIPT_RANGES[LATIN]}]")
 _CYRILLIC = re.compile(f"[{SCRIPT_RANGES[CYRILLIC]}]")
@@ -147,7 +148,7 @@ def undo(text: str) -> str:
     """The consistent form of one text: what the operator on code points gives, for use inside other operators."""
     if text.isascii():
         return text
-    t = text.translate(_plain())
+    t = _PLAIN.sub(lambda m: _plain().get(m.group(), m.group()), text)
     if _CYRILLIC.search(t) or _GREEK.search(t):
         spread: list[tuple[int, ...]] = []
 

@@ -44,13 +44,15 @@ class _Numbers(dict):
     def hash(w: str) -> int:
         return int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest())
 
-    def __missing__(self, w: str) -> int:
-        h = np.uint64(self.hash(w))
-        i = int(np.searchsorted(self.known, h))
-        i = i if i < len(self.known) and self.known[i] == h else -1
-        if len(self) < 1 << 19:
-            self[w] = i
-        return i
+    def learn(self, words: set[str]) -> None:
+        """Looks all of these words up that aren't kept yet, at once."""
+        if len(self) > 1 << 19:
+            self.clear()
+        new = list(words - self.keys())
+        if new:
+            h = np.array([self.hash(w) for w in new], np.uint64)
+            at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+            self.update(zip(new, np.where(self.known[at] == h, at, -1).tolist() if len(self.known) else [-1] * len(new)))
 
 
 class WuManber:
@@ -94,11 +96,19 @@ class WuManber:
         self.numbers: _Numbers | None = None
 
     def search(self, text: str) -> set[int]:
+        return self.search_all([text])[0]
+
+    def search_all(self, texts: list[str]) -> list[set[int]]:
+        """The items of each text."""
         if self.numbers is None:
             self.numbers = _Numbers(self.known)
-        ids = np.array([self.numbers[w] for w in normal_words(text)], np.int64)
+        words = [normal_words(t) for t in texts]
+        self.numbers.learn(set().union(*words))
+        return [self._search(np.array([self.numbers[w] for w in ws], np.int64)) for ws in words]
+
+    def _search(self, ids: np.ndarray) -> set[int]:
         m, n, found = self.window, len(ids), set()
-        if n < m or not len(self.starts):
+        if not len(self.starts) or bytes([1]) * m not in (ids >= 0).tobytes():  # never so many of the items' words in a row
             return found
         blocks = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * self.base + ids[1:], -1)
         at = np.minimum(np.searchsorted(self.blocks, blocks), len(self.blocks) - 1)
@@ -148,7 +158,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, window: int = WINDOW
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             engine = held.value
             for b in batches:
-                hits = [(d, i) for d, t in zip(b["doc_id"], b["text"]) for i in engine.search(t)]
+                hits = [(d, i) for d, found in zip(b["doc_id"], engine.search_all(b["text"].tolist())) for i in found]
                 if hits:
                     yield pd.DataFrame(hits, columns=["doc_id", "item_id"])
 
