@@ -73,14 +73,14 @@ class Languages:
     """Linear scores of words for each language, from texts with labels; words that are alike in all say nothing."""
 
     def __init__(self, texts: list, labels: list[str]):
-        self.names = sorted(k for k, n in Counter(labels).items() if n >= LANGUAGE_TEXTS)
+        self.names = sorted(set(labels))
         counts = np.ones((len(self.names), LANG_BUCKETS)) * 0.2
         at = {k: i for i, k in enumerate(self.names)}
         for t, k in zip(texts, labels):
             if k in at and len(t):
                 np.add.at(counts[at[k]], np.unique(np.array(t) % LANG_BUCKETS), 1.0)
         p = counts / counts.sum(1, keepdims=True)
-        self.weights = (np.log(p) - np.log(p).mean(0)).T.astype(np.float32)
+        self.weights = (np.log(p) - (np.log(p).mean(0) if len(p) else 0.0)).T.astype(np.float32)
 
     def scores(self, numbers: np.ndarray) -> np.ndarray:
         if not len(numbers) or not len(self.names):
@@ -455,6 +455,8 @@ def read_languages(sample: DataFrame) -> Languages:
             yield pd.DataFrame({"lang": [k for k, _ in rows], "words": [w for _, w in rows]})
 
     got = sample.where("lang is not null").select("input", "response", "lang").mapInPandas(read, "lang string, words array<bigint>").toArrow().to_pandas()
+    many = Counter(got["lang"])
+    got = got[got["lang"].map(many) >= LANGUAGE_TEXTS]
     got = got.assign(order=got["words"].map(lambda w: (len(w), tuple(w)))).sort_values(["lang", "order"])
     return Languages(got["words"].tolist(), got["lang"].tolist())
 
