@@ -94,3 +94,13 @@ def test_subsets_and_configurations(spark, tmp_path):
     df.write.parquet(str(tmp_path / "set/more"))
     with pytest.raises(ValueError):
         tables.configured(spark, str(tmp_path), "set")
+
+
+def test_settled_tables_are_cleared(spark, tmp_path, monkeypatch):
+    from assize.plans import lineage
+
+    monkeypatch.setattr(lineage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert lineage.settle(spark.range(5), "x").count() == 5 and any(tmp_path.iterdir())
+    lineage.clear(spark)
+    assert not any(p.suffix != ".crc" for p in tmp_path.iterdir())
+    lineage.clear(spark)
